@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghelm.llm.bitslice_topk import bitsliced_topk
+from loghelm.llm.language_id import identify_language, learn_languages
 from loghelm.llm.ngram_join import with_classes
 from loghelm.llm.packing import pack_documents
 from loghelm.llm.permutation_ann import permutation_ann
+from loghelm.llm.quality import quality_scores
 from loghelm.llm.secret_scan import secret_scan
 from loghelm.llm.source_mix import mix_sources
+from loghelm.llm.suffix_dedup import suffix_dedup
+from loghelm.llm.toxicity import learn_grammar, toxicity_scores
 
 
 def tokenizer_path() -> str:
@@ -33,6 +37,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_classes(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_ann(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -42,6 +50,20 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).drop("text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, learn_grammar(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_language(docs, learn_languages(docs))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), need=200).drop("spans")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
@@ -51,7 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op4_permutation_ann, op5_source_mix, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -125,3 +125,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
     out = [v.cast("long").alias(k) if k != "mix_source" else v for k, v in out.items()]
     return rows.select(*kept, *out, "mix_within").withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_within")).drop("mix_within")
+
+
+def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+    """The rows and columns of docs, laid out in files in the order of mix_position."""
+    mixed = mix_sources(docs, **options)
+    return mixed.orderBy("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
