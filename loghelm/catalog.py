@@ -1,11 +1,250 @@
-"""Queries of the engine over the driver's tables, with their SQL twins."""
+"""Queries of the engine over the driver's tables; their SQL twins are in loghelm.oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loghelm.functions.facts import usable_time
+from loghelm.functions.scalars import address_domain, framed, import_origin_id, is_queue_id, wire_value
+from loghelm.operators.continuity import extremities
+from loghelm.operators.generations import assigned, generations
+from loghelm.operators.identity import queue_instances as with_ordinals
+from loghelm.operators.links import hints, links
+from loghelm.operators.partition import provenance_faults, streams
+from loghelm.operators.prequeue import prequeue_reports as reports_of
+from loghelm.operators.prequeue import sessions
+from loghelm.operators.recipients import recipients
+from loghelm.operators.summaries import STATUSES, summaries
+from loghelm.oracle import ORACLE
+from loghelm.plans.cursors import SearchCursor
+from loghelm.plans.scope import facts_in_scope
+from loghelm.plans.search import SearchQuery, search_plan, searchable
+from loghelm.schema import DAY_NS, GENERATION, STREAM, field
+from loghelm.sources.envelope import TimeContext
+from loghelm.sources.mail_lines import parse_lines
+from loghelm.views import event_columns, event_facts, event_sessions
 
-def oracle_sql() -> dict:
-    return {}
+JANUARY = (1704067200 * 10**9, 1706745600 * 10**9)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _facts(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    return event_facts(_t(spark, sf_dir, "events"), **kw)
+
+
+def facts_partition(spark, sf_dir):
+    return streams(_facts(spark, sf_dir))
+
+
+def generation_split(spark, sf_dir):
+    g = generations(assigned(_facts(spark, sf_dir)))
+    return g.select(*GENERATION, "first_t", F.coalesce("removed_t", F.lit(-1)).alias("removed_t"), "receipt_observed", "non_explicit_time", "cross_stream_uncertain", "n_facts", "first_start")
+
+
+def generation_reasons(spark, sf_dir):
+    per = assigned(_facts(spark, sf_dir)).groupBy(*STREAM, "reason").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("reason").agg(F.count(F.lit(1)).alias("n_streams"), F.sum("n").alias("n_facts"))
+
+
+def queue_instances(spark, sf_dir):
+    return with_ordinals(generations(assigned(_facts(spark, sf_dir)))).select(*GENERATION, "generation")
+
+
+def _recipients(facts):
+    return recipients(assigned(facts)).drop("attempts", "latest")
+
+
+def recipient_latest(spark, sf_dir):
+    return _recipients(_facts(spark, sf_dir))
+
+
+def recipient_ties(spark, sf_dir):
+    return _recipients(_facts(spark, sf_dir, hour_ties=True))
+
+
+def summary_counts(spark, sf_dir):
+    s = summaries(assigned(_facts(spark, sf_dir)))
+    return s.agg(F.count(F.lit(1)).alias("n_generations"), F.sum("n_recipients").alias("recipients"), *[F.sum(c).alias(c) for c in STATUSES])
+
+
+def summary_reserves(spark, sf_dir):
+    s = summaries(assigned(_facts(spark, sf_dir, hour_ties=True)))
+    return s.select(*GENERATION, "n_recipients", *STATUSES, F.concat_ws(",", "reserves").alias("reserves"))
+
+
+def queue_hints(spark, sf_dir):
+    return hints(_facts(spark, sf_dir)).select("start_offset", "instance", "queue_id", "hint_kind", "target_queue_id", "relay")
+
+
+def queue_links(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    bindings = [(f"mx-{i}", "peer[192.0.2.1]:25", f"mx-{i}") for i in range(3)]
+    out = links(facts, assigned(facts), DAY_NS, bindings)
+    return out.select("start_offset", "instance", "queue_id", "target_queue_id", F.coalesce("reason", "state").alias("result"))
+
+
+def prequeue_reports(spark, sf_dir):
+    return reports_of(event_sessions(_t(spark, sf_dir, "events"))).select("start_offset", "pid", "disposition", "client", "sender", "recipient")
+
+
+def prequeue_sessions(spark, sf_dir):
+    s = sessions(event_sessions(_t(spark, sf_dir, "events")))
+    return s.select("start_offset", "pid", "client", F.coalesce("reason", F.lit("assigned")).alias("result"))
+
+
+def _search(spark, sf_dir, name, value, limit, cursor=None):
+    return SearchQuery(name, value, "mx-1", *JANUARY, limit, cursor)
+
+
+def _page(spark, sf_dir, q):
+    plan = search_plan(searchable(_facts(spark, sf_dir)), q, with_limit=False)
+    return plan.limit(q.limit).select("event_id", "time_utc_ns", "start_offset", "queue_id")
+
+
+def search_exact(spark, sf_dir):
+    return _page(spark, sf_dir, _search(spark, sf_dir, "recipient", "r3@example.net", 100))
+
+
+def search_domain(spark, sf_dir):
+    return _page(spark, sf_dir, _search(spark, sf_dir, "recipient_domain", "example.net", 200))
+
+
+def search_page_2(spark, sf_dir):
+    q = _search(spark, sf_dir, "recipient", "r3@example.net", 20)
+    last = _page(spark, sf_dir, q).orderBy(F.desc("time_utc_ns"), F.desc("event_id")).first()  # the end of page 1
+    return _page(spark, sf_dir, _search(spark, sf_dir, q.field, q.value, 20, SearchCursor(q.digest(), last["time_utc_ns"], last["event_id"])))
+
+
+def search_all_fields(spark, sf_dir):
+    stored = searchable(_facts(spark, sf_dir))
+    asked = (("sender", "u1@example.org"), ("recipient", ""), ("queue_id", "A000102"), ("message_id", "m1-0@example.org"), ("sender_domain", "example.org"), ("recipient_domain", "example.net"))
+    parts = [search_plan(stored, _search(spark, sf_dir, n, v, 1), with_limit=False).agg(F.lit(n).alias("field"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids")) for n, v in asked]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def origin_overlap(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    longer = facts.withColumn("end_offset", F.col("end_offset") + F.when(F.col("event_id") % 89 == 0, 50000).otherwise(0))
+    return provenance_faults(longer).select("start_offset", "fault")
+
+
+def origin_extremities(spark, sf_dir):
+    return extremities(_facts(spark, sf_dir)).select("source_id", "origin_id", "first_start", "last_end")
+
+
+def scope_semi_join(spark, sf_dir):
+    parts = [("mx-1", "A000102"), ("mx-1", "A000110"), ("mx-1", "A003105"), ("mx-2", "A000203")]
+    return facts_in_scope(_facts(spark, sf_dir), parts, [], None).select("start_offset", "instance", "queue_id")
+
+
+def retention_anti(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    cover = facts.groupBy("source_id", "origin_id").agg(F.floor(F.max("end_offset") * 3 / 4).alias("off"))
+    running = spark.createDataFrame([("src-2",)], "source_id string")
+    old = facts.where(usable_time() < 1705276800 * 10**9).join(cover, ["source_id", "origin_id"]).where("end_offset <= off")
+    return old.join(F.broadcast(running), "source_id", "left_anti").select("start_offset")
+
+
+def replay_guard(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    digest = F.sha2(framed(F.col("queue_id"), F.col("kind")), 256)
+    gone = facts.where(F.col("event_id") % 10 == 3).select("start_offset", F.when(F.col("event_id") % 70 == 3, F.lit("other")).otherwise(digest).alias("old"))
+    met = facts.join(gone, "start_offset", "left")
+    return met.select("start_offset", F.when(F.col("old").isNull(), "new").when(F.col("old") == digest, "skipped").otherwise("collision").alias("outcome"))
+
+
+def revision_digest(spark, sf_dir):
+    return _facts(spark, sf_dir).select("start_offset", F.sha2(framed(*[F.col(c) for c in ("source_id", "origin_id", "start_offset", "end_offset", "queue_id")]), 256).alias("digest"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """events as lines of text: wall time, host, service, pid, queue id, message."""
+    f = event_facts(events)
+    e = event_columns(events)
+    message = (
+        F.when(F.col("kind") == "removed", F.lit("removed"))
+        .when(F.col("service") == "cleanup", F.concat(F.lit("message-id=<"), field("message-id"), F.lit(">")))
+        .when(F.col("service") == "qmgr", F.concat(F.lit("from=<"), field("from"), F.lit(">, size=100, nrcpt=1 (queue active)")))
+        .otherwise(F.concat(F.lit("to=<"), field("to"), F.lit(">, relay="), field("relay"), F.lit(", dsn=2.0.0, status="), F.col("native_status_field")))
+    )
+    m = f.select("event_id", "host", "service", "pid", "queue_id", message.alias("m")).join(e.select("event_id", "us"), "event_id")
+    wall = F.timestamp_micros(F.col("us"))
+    stamp = F.concat(F.date_format(wall, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(wall).cast("string"), 2, " "), F.date_format(wall, " HH:mm:ss"))
+    line = F.concat(stamp, F.lit(" "), F.col("host"), F.lit(" postfix/"), F.col("service"), F.lit("["), F.col("pid"), F.lit("]: "), F.col("queue_id"), F.lit(": "), F.col("m"))
+    return m.select("event_id", F.when(F.col("event_id") % 101 == 0, F.lit("no envelope here")).otherwise(line).alias("line"), line.alias("whole"))
+
+
+def syslog_roundtrip(spark, sf_dir):
+    lines = event_lines(_t(spark, sf_dir, "events")).select("event_id", F.col("line").cast("binary").alias("raw"))
+    return parse_lines(lines, TimeContext(2024, "UTC")).select("event_id", "time_utc_ns", "host", "service", "pid", "parse_error")
+
+
+def postfix_fields(spark, sf_dir):
+    lines = event_lines(_t(spark, sf_dir, "events")).select("event_id", F.col("whole").cast("binary").alias("raw"))
+    p = parse_lines(lines, TimeContext(2024, "UTC"))
+    return p.select("event_id", "kind", "queue_id", field("message-id").alias("message_id"), field("from").alias("sender"), field("to").alias("recipient"), field("status").alias("status"))
+
+
+def timeline_page(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = assigned(_facts(spark, sf_dir)).where("reason = 'resolved'")
+    n = F.row_number().over(Window.partitionBy(*GENERATION).orderBy("place")) - 1
+    return rows.withColumn("position", n).where(F.col("position").between(2, 4)).select("start_offset", "position")
+
+
+def address_domains(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("word")).where(F.contains("word", F.lit("@")))
+    return words.select("doc_id", "word", address_domain(F.col("word")).alias("domain"))
+
+
+def queue_id_grammar(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("word"))
+    return words.where(is_queue_id(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def left_join_checkpoints(spark, sf_dir):
+    last = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "last_order")
+
+
+def contiguity_check(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_linenumber", 1, 0).over(w).alias("before"))
+    return rows.where(F.col("l_linenumber") != F.col("before") + 1).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_gaps"))
+
+
+def import_origin_ids(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", import_origin_id(F.col("source"), F.sha2("text", 256)).alias("origin_id"))
+
+
+def utf8_wire(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", wire_value(F.col("text")).alias("w"))
+    return d.select("doc_id", "w.encoding", "w.value")
+
+
+def conversation_pages(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", n.alias("n")).where(F.col("n").between(2, 3)).drop("n")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: globals()[name] for name in ORACLE}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
