@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loghelm.llm.bytehash import mix
 from loghelm.llm.common import text_or_empty, train_fold
 
 SAMPLE_ROWS = 24_000
 LEAST_SEEN = 5
 PURITY = 0.8
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+WIDER = 1.5
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
@@ -149,11 +151,49 @@ def _atoms(text: str) -> set[str]:
     return {"w" + w for w in words if len(w) >= 3} | {"s" + w[:n] for w in words for n in STEMS if len(w) > n}
 
 
-def _copy_key(text: str) -> int:
-    """The smallest hash of the text's runs of three words: near copies mostly share it."""
+def _copy_bands(text: str, bands: int = 6, rows: int = 3) -> list[int]:
+    """Band hashes of a minhash over runs of three words: near copies share one at least."""
     words = WORD.findall(text.lower())
-    runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    return int(pd.util.hash_array(np.asarray(runs, object)).min() >> np.uint64(1))
+    runs = pd.util.hash_array(np.asarray([" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))], object))
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    least = np.asarray([mix(runs ^ s).min() for s in seeds], np.uint64).reshape(bands, rows)
+    out = mix(least[:, 0] + np.uint64(3) * mix(least[:, 1] + np.uint64(5) * mix(least[:, 2] + np.arange(bands, dtype=np.uint64))))
+    return out.view(np.int64).tolist()
+
+
+def _families(bands: list[list[int]]) -> list[int]:
+    """The first row that each row shares a band with, directly or through others."""
+    parent = list(range(len(bands)))
+    seen: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, own in enumerate(bands):
+        for band in own:
+            a, b = root(i), root(seen.setdefault(band, i))
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(bands))]
+
+
+def _lexicon(found: dict[str, tuple[int, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems to keep. A stem stays if it is clearly wider than any word that it begins
+    (else the word says more) and no shorter stem does; a word that a stem covers goes."""
+    widest: dict[str, int] = {}
+    for atom, (n, _) in found.items():
+        if atom[0] == "w":
+            for k in STEMS:
+                widest[atom[1 : k + 1]] = max(n, widest.get(atom[1 : k + 1], 0))
+    stems: dict[str, float] = {}
+    for atom in sorted((a for a in found if a[0] == "s"), key=len):
+        n, weight = found[atom]
+        if n >= WIDER * widest.get(atom[1:], 0) and not any(atom[1 : k + 1] in stems for k in STEMS if k < len(atom) - 1):
+            stems[atom[1:]] = weight
+    words = {a[1:]: w for a, (_, w) in found.items() if a[0] == "w" and not any(a[1 : k + 1] in stems for k in STEMS if len(a) - 1 > k)}
+    return words, stems
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -179,25 +219,32 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     said = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & train_fold("id"))
     said = said.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = rows.join(F.broadcast(said), "id")  # `sample` rows at most
-    # one task at a time keeps only what it counts; texts stay on the executors
+    got = rows.join(F.broadcast(said), "id")  # `sample` rows at most; texts stay on the executors
+
+    def banded(frames):
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"].astype(str), "bands": [_copy_bands(t) for t in f["text"]]})
+
+    # near copies are one family, or their rare words would look like insults; `sample` rows
+    signs = got.mapInPandas(banded, "id string, bands array<long>").orderBy("id").collect()
+    spark = docs.sparkSession
+    family = spark.createDataFrame(list({r["id"]: f for r, f in zip(signs, _families([r["bands"] for r in signs]), strict=True)}.items()), "id string, family long")
+    told = got.select(F.col("id").cast("string").alias("id"), "y", "text").join(F.broadcast(family), "id")
+
     def count(frames):
         for f in frames:
-            yield pd.DataFrame({"y": f["y"].astype(int), "key": [_copy_key(t) for t in f["text"]], "atoms": [sorted(_atoms(t)) for t in f["text"]]})
+            yield pd.DataFrame({"y": f["y"].astype(int), "family": f["family"], "atoms": [sorted(_atoms(t)) for t in f["text"]]})
 
-    one = got.mapInPandas(count, "y int, key long, atoms array<string>").groupBy("key", "y").agg(F.min("atoms").alias("atoms"))
-    sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    one = told.mapInPandas(count, "y int, family long, atoms array<string>")
+    sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count_distinct("family").alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad or not n_good:
         return Grammar()
-    atoms = one.select("y", F.explode("atoms").alias("atom")).groupBy("atom").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    atoms = one.select("y", "family", F.explode("atoms").alias("atom")).groupBy("atom", "family").agg(F.max("y").alias("bad"), F.max(1 - F.col("y")).alias("good"))
+    atoms = atoms.groupBy("atom").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = atoms.where((F.col("bad") >= LEAST_SEEN) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good"))))
-    words, stems = {}, {}
-    for r in kept.collect():  # at most the atoms of `sample` texts, each in five of them
-        weight = math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["good"] + 0.5) / (n_good + 1))
-        (words if r["atom"][0] == "w" else stems)[r["atom"][1:]] = weight
-    # a word that a stem covers adds nothing
-    grammar = Grammar({w: x for w, x in words.items() if not any(w[:n] in stems for n in STEMS if len(w) > n)}, stems)
+    found = {r["atom"]: (r["bad"], math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["good"] + 0.5) / (n_good + 1))) for r in kept.collect()}  # at most the atoms of `sample` texts, each in five of them
+    grammar = Grammar(*_lexicon(found))
 
     def emit(frames):
         for f in frames:
