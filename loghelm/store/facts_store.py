@@ -21,6 +21,7 @@ ORIGINS = "source_id string, origin_id string, path string, device long, inode l
 CHECKPOINTS = "source_id string, origin_id string, offset long, anchor string"
 IMPORTS = "run_id string, source_id string, origin_id string, sha256 string, content_bytes long, records long, end_offset long, status string, error string"
 PURGED = "source_id string, origin_id string, start_offset long, end_offset long, digest string"
+NEAR_ORIGINS = 32
 PURGE_DOMAIN = "loghelm-purge-1"
 
 
@@ -78,17 +79,32 @@ class FactStore:
         once = new.dropDuplicates([*REF, "raw"])
         if not once.withColumn("before", F.lag("end_offset").over(w)).where(F.col("before") > F.col("start_offset")).isEmpty():
             raise RefusedError("collision", "within the batch")
-        old = self.facts(at).select(*REF[:3], F.col("end_offset").alias("old_end"), F.col("raw").alias("old_raw"))
+        near = self._near(once)
+        old = self.facts(at).where(near).select(*REF[:3], F.col("end_offset").alias("old_end"), F.col("raw").alias("old_raw"))
         met = once.join(old, list(REF[:3]))
         if not met.where((F.col("old_end") != F.col("end_offset")) | ~F.col("old_raw").eqNullSafe(F.col("raw"))).isEmpty():
             raise RefusedError("collision", "with a stored record")
-        purged = self.snapshots.read("purged", PURGED, at).select(*REF[:3], F.col("digest").alias("old_digest"))
+        purged = self.snapshots.read("purged", PURGED, at).where(near).select(*REF[:3], F.col("digest").alias("old_digest"))
         gone = once.join(purged, list(REF[:3]))
         if not gone.where(F.col("old_digest") != purge_digest()).isEmpty():
             raise RefusedError("collision", "with a purged record")
         fresh = once.join(old, list(REF[:3]), "left_anti")
         return fresh.join(purged, list(REF[:3]), "left_anti").select(*once.columns)
 
+    def _near(self, batch: DataFrame):
+        """A condition on provenance that holds for all that a batch can meet, made of literals so
+        that it prunes files and row groups: origins and offset ranges, or, for a batch of many
+        origins, its sources and overall range."""
+        by_origin = batch.groupBy("source_id", "origin_id").agg(F.min("start_offset").alias("lo"), F.max("start_offset").alias("hi"))
+        some = by_origin.limit(NEAR_ORIGINS + 1).collect()
+        if len(some) <= NEAR_ORIGINS:
+            out = F.lit(False)
+            for r in some:
+                out = out | ((F.col("source_id") == r["source_id"]) & (F.col("origin_id") == r["origin_id"]) & F.col("start_offset").between(r["lo"], r["hi"]))
+            return out
+        r = by_origin.agg(F.min("source_id"), F.max("source_id"), F.min("lo"), F.max("hi")).first()
+        return F.col("source_id").between(r[0], r[1]) & F.col("start_offset").between(r[2], r[3])
+
     def commit(self, facts: DataFrame, origins: DataFrame | None = None, checkpoints: DataFrame | None = None, notes: dict | None = None, imports: DataFrame | None = None) -> Version:
         """All of a batch or nothing. Sending the same batch again changes nothing."""
         base = self.snapshots.current()
