@@ -18,8 +18,11 @@ KNOWN = ("sent", "delivered", "deferred", "bounced")
 
 def hints(facts: DataFrame) -> DataFrame:
     """One row per explicit native report of another queue id."""
-    rows = facts.where(F.col("kind").isin("bounce", "delivery")).withColumn("hint", queue_hint()).where(F.col("hint").isNotNull())
-    return rows.select(*REF, "instance", "queue_id", usable_time().alias("t"), F.col("hint.kind").alias("hint_kind"), "hint.target_queue_id", "hint.target_instance", "hint.relay", "hint.native_proof", field("to").alias("recipient"))
+    # inline keeps the wide expression in one place: no filter or projection is merged into it
+    found = F.filter(F.array(queue_hint()), lambda h: h.isNotNull())
+    rows = facts.where(F.col("kind").isin("bounce", "delivery"))
+    out = rows.select(*REF, "instance", "queue_id", usable_time().alias("t"), field("to").alias("recipient"), F.inline(found))
+    return out.withColumnRenamed("kind", "hint_kind")
 
 
 def check_options(window_ns: int, bindings: Sequence[tuple[str, str, str]]) -> None:
@@ -41,9 +44,9 @@ def _claims(rows: DataFrame) -> DataFrame:
         agreed("sender").alias("sender"),
         agreed("mid").alias("message_id"),
         F.coalesce(F.min("mid") != F.max("mid"), F.lit(False)).alias("message_ids_differ"),
-        F.min(F.when(F.col("sender").isNotNull(), F.struct("place", *REF))).alias("sender_proof"),
-        F.min(F.when(F.col("mid").isNotNull(), F.struct("place", *REF))).alias("message_id_proof"),
-    )
+        F.min(F.when(F.col("sender").isNotNull(), F.struct("place", *REF))).alias("p1"),
+        F.min(F.when(F.col("mid").isNotNull(), F.struct("place", *REF))).alias("p2"),
+    ).select("*", F.transform(F.array_compact(F.array("p1", "p2")), lambda p: p.dropFields("place")).alias("proofs")).drop("p1", "p2")
 
 
 def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
@@ -69,12 +72,12 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
     bind = spark.createDataFrame([tuple(b) for b in bindings], "instance string, relay string, bound string")
     src = src.join(F.broadcast(bind), ["instance", "relay"], "left")
     src = src.withColumn("to_instance", F.coalesce("target_instance", F.when(F.col("hint_kind") == "smtp_queue_hint", F.col("bound"))))
-    own = gens.select(*[F.col(c).alias(f"o_{c}") for c in GENERATION], F.col("gid").alias("source_gid"), F.col("first_t").alias("s_first"), F.col("receipt_observed").alias("s_receipt"), F.col("sender").alias("s_sender"), F.col("message_id").alias("s_mid"), F.col("message_ids_differ").alias("s_mids_differ"), F.col("non_explicit_time").alias("s_non_explicit"), F.col("sender_proof").alias("s_sender_proof"), F.col("message_id_proof").alias("s_mid_proof"))
+    own = gens.select(*[F.col(c).alias(f"o_{c}") for c in GENERATION], F.col("gid").alias("source_gid"), F.col("first_t").alias("s_first"), F.col("receipt_observed").alias("s_receipt"), F.col("sender").alias("s_sender"), F.col("message_id").alias("s_mid"), F.col("message_ids_differ").alias("s_mids_differ"), F.col("non_explicit_time").alias("s_non_explicit"), F.col("proofs").alias("s_proofs"))
     resolved = F.col("reason") == "resolved"
     src = src.join(own, resolved & (F.col("instance") == F.col("o_instance")) & (F.col("queue_id") == F.col("o_queue_id")) & (F.col("source_id") == F.col("o_source_id")) & (F.col("origin_id") == F.col("o_origin_id")) & (F.col("s_cycle") == F.col("o_cycle")), "left").drop(*[f"o_{c}" for c in GENERATION])
 
     # target side: all generations of the target key, reduced to counts and the plausible one
-    t = gens.select(F.col("instance").alias("to_instance"), F.col("queue_id").alias("target_queue_id"), F.col("gid").alias("t_gid"), F.col("first_t").alias("t_first"), F.col("receipt_observed").alias("t_receipt"), F.col("cross_stream_uncertain").alias("t_cross"), F.col("sender").alias("t_sender"), F.col("message_id").alias("t_mid"), F.col("message_ids_differ").alias("t_mids_differ"), F.col("non_explicit_time").alias("t_non_explicit"), F.col("sender_proof").alias("t_sender_proof"), F.col("message_id_proof").alias("t_mid_proof"))
+    t = gens.select(F.col("instance").alias("to_instance"), F.col("queue_id").alias("target_queue_id"), F.col("gid").alias("t_gid"), F.col("first_t").alias("t_first"), F.col("receipt_observed").alias("t_receipt"), F.col("cross_stream_uncertain").alias("t_cross"), F.col("sender").alias("t_sender"), F.col("message_id").alias("t_mid"), F.col("message_ids_differ").alias("t_mids_differ"), F.col("non_explicit_time").alias("t_non_explicit"), F.col("proofs").alias("t_proofs"))
     met = src.select("hint_id", "to_instance", "target_queue_id", F.col("t").alias("hint_t"), "s_first", "s_receipt").join(t, ["to_instance", "target_queue_id"])
     apart = F.col("t_first") - F.col("hint_t")
     plausible = F.col("s_receipt") & F.col("t_receipt") & (F.col("t_first") > F.col("s_first")) & apart.between(-window_ns, window_ns)
@@ -115,8 +118,9 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
     out = out.withColumn("reason", reason)
     linked = F.col("reason").isNull()
     chosen = F.when(linked | ((F.col("reason") == "evidence_insufficient") & (F.col("n_plausible") == 1)), F.col("target_gid"))
-    proofs = [F.col("hint_id"), *[F.when(linked, F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{r}").alias(r) for r in REF]))) for c in ("s_sender_proof", "target.t_sender_proof", "s_mid_proof", "target.t_mid_proof")], F.when(linked, F.col("delivery_proof"))]
-    evidence = F.array_sort(F.array_distinct(F.filter(F.array(*proofs), lambda p: p.isNotNull())))
+    # what a link rests on: the hint, one proof for each agreed value, and the target's delivery
+    all_proofs = F.concat(F.array("hint_id"), "s_proofs", "target.t_proofs", F.array_compact(F.array("delivery_proof")))
+    evidence = F.when(linked, F.array_sort(F.array_distinct(all_proofs))).otherwise(F.array("hint_id"))
     return out.select(
         *REF,
         "instance",
