@@ -33,6 +33,7 @@ HEX = r"[0-9a-f]{24,}"
 MORE = r"(?:gh[opsu]_|github_pat_|glpat-|[rs]k_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_.-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{32,}"
 KINDS = ("assign", "access", "hex", "more")
 SALTS = 16
+BROADCAST_ROWS = 50_000
 SPAN = "struct<start:bigint,kind:int,stop:bigint,value:bigint,width:int>"
 
 
@@ -119,8 +120,15 @@ def redact_secrets(docs: DataFrame, copied_owners: int = 3, id_col: str = "doc_i
 
     Same rows and columns; n_chars, where there is one, follows the new text.
     """
-    found = with_spans(with_candidates(docs, id_col, text_col, source_col), copied_owners)
+    scratch = Scratch(docs.sparkSession)
+    found = with_candidates(docs, id_col, text_col, source_col).select("secret_base", "secret_more", "secret_row", "secret_owner")
+    # written before it is filtered: a filter on the spans would search each text once more
+    found = scratch.keep(found).where((F.size("secret_base") > 0) | (F.size("secret_more") > 0))
     live = F.filter("secret_spans", lambda s: ~F.array_contains(F.col("secret_copied"), s["value"]))
+    cuts = with_spans(found, copied_owners).select("secret_row", live.alias("secret_live")).where(F.size("secret_live") > 0)
+    cuts = scratch.keep(cuts.groupBy("secret_row").agg(F.first("secret_live").alias("secret_live")))
+    if cuts.count() <= BROADCAST_ROWS:  # spans of a checked number of rows; beyond it, both sides are shuffled
+        cuts = F.broadcast(cuts)
     text = F.col(text_col)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -131,8 +139,9 @@ def redact_secrets(docs: DataFrame, copied_owners: int = 3, id_col: str = "doc_i
         return F.struct(F.greatest(acc["at"], s["stop"]).cast("bigint").alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("<secret>"))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    out = found.withColumn("secret_live", live)
-    out = out.withColumn(text_col, F.when(F.size("secret_live") > 0, F.aggregate("secret_live", zero, step, rest)).otherwise(text))
+    out = docs.withColumn("secret_row", F.xxhash64(F.col(id_col), text_or_empty(text_col))).join(cuts, "secret_row", "left")
+    cut = F.coalesce(F.size("secret_live") > 0, F.lit(False))
+    out = out.withColumn("secret_new", F.when(cut, F.aggregate("secret_live", zero, step, rest)).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_live") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(cut, F.length("secret_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col("secret_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
