@@ -13,7 +13,7 @@ import corpus_pipeline
 from loghelm.llm import queries as q
 from loghelm.llm.bitslice_topk import BitSlicedBlock, bitsliced_topk
 from loghelm.llm.language_id import identify_language, learn_languages
-from loghelm.llm.ngram_join import one_of_each, with_classes
+from loghelm.llm.ngram_join import NgramJoin, one_of_each, with_classes
 from loghelm.llm.packing import WordTokenizer, best_two_fit, pack_documents
 from loghelm.llm.permutation_ann import permutation_ann
 from loghelm.llm.quality import coded, fit_labels, quality_scores
@@ -86,12 +86,27 @@ def test_permutation_ann_recall(spark):
     assert permutation_ann(vectors(spark, []), F.col("vec_id") % 20 == 0).collect() == []
 
 
-def brute_join(rows, width, num, den):
+def shingle_sets(rows, width):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
         sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return sets
+
+
+def brute_links(rows, cls, width, num, den):
+    out = set()
+    sets = shingle_sets(rows, width)
+    for (d, _), a in zip(rows, sets):
+        for (e, _), b in zip(rows, sets):
+            if a and b and a != b and den * len(a & b) >= num * len(a | b):
+                out.add((min(cls[d], cls[e]), max(cls[d], cls[e])))
+    return out
+
+
+def brute_join(rows, width, num, den):
+    sets = shingle_sets(rows, width)
     root = list(range(len(rows)))
 
     def find(i):
@@ -127,6 +142,10 @@ def test_ngram_join_against_brute_force(spark):
     left = one_of_each(docs(spark, rows), 4, 85, 100).collect()
     reps = {c for d, n, c in brute_join(rows, 4, 85, 100) if n}
     assert sorted(r.doc_id for r in left if r.doc_id is not None and (r.text or "").strip()) == sorted(x for x in reps if x is not None)
+    members, links = NgramJoin(docs(spark, rows), 4, 85, 100).links()
+    cls = {r.doc_id: r.cls for r in members.collect()}
+    got_links = {(r.a, r.b) for r in links.collect()}
+    assert got_links == brute_links(rows, cls, 4, 85, 100)
     assert with_classes(docs(spark, [])).collect() == []
     assert with_classes(docs(spark, AWKWARD)).count() == len(AWKWARD)
 
