@@ -31,6 +31,7 @@ from loghelm.llm.common import Scratch, text_or_empty
 DIMS = 4096
 TRAIN_ROWS = 6000
 PIECE = 1_000_000
+WINDOW = 2000
 LABELLERS = ("symbols", "letters", "digits", "word_length", "line_copies", "word_variety", "sentences", "size")
 
 _CLASS = np.zeros(256, np.uint8)
@@ -42,6 +43,14 @@ _CLASS[[ord(c) for c in ".!?,;:'\"()-"]] = 5
 _STOP = re.compile(r"[.!?](?:\s|$)")
 
 
+def word_variety(words: list[bytes]) -> float:
+    """Share of distinct words: the mean over near-equal windows of WINDOW words at most that
+    together cover all words, so that long texts are not counted as poor for their length."""
+    m = -(-len(words) // WINDOW)
+    cuts = [i * len(words) // m for i in range(m + 1)]
+    return sum(len(set(words[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:])) / m
+
+
 def votes(text: str) -> str:
     """One letter for each labeller: g (good), b (bad) or a (abstain)."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -53,7 +62,7 @@ def votes(text: str) -> str:
     lines = [x for x in (line.strip() for line in text.split("\n")) if x]
     mean = dense / len(words)
     copies = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    variety = len(set(words[:2000])) / min(len(words), 2000)
+    variety = word_variety(words)
     stops = len(_STOP.findall(text)) / len(words)
 
     def between(x: float, good: tuple[float, float], fair: tuple[float, float]) -> str:

@@ -16,7 +16,7 @@ from loghelm.llm.language_id import identify_language, learn_languages
 from loghelm.llm.ngram_join import NgramJoin, one_of_each, with_classes
 from loghelm.llm.packing import WordTokenizer, best_two_fit, pack_documents
 from loghelm.llm.permutation_ann import permutation_ann
-from loghelm.llm.quality import coded, fit_labels, quality_scores
+from loghelm.llm.quality import LABELLERS, coded, fit_labels, quality_scores, votes
 from loghelm.llm.secret_scan import redact_secrets, secret_scan
 from loghelm.llm.source_mix import mix_sources, period, whole_parts
 from loghelm.llm.toxicity import Grammar, learn_grammar, toxicity_scores, without_toxic
@@ -162,6 +162,13 @@ def test_weak_labels_find_the_better_labellers():
     assert ((model.posterior(coded(votes)) > 0.5) == truth).mean() > 0.95
 
 
+def test_word_variety_reads_the_whole_text():
+    at = LABELLERS.index("word_variety")
+    varied = [f"w{i}" for i in range(2000)]
+    assert votes(" ".join(varied))[at] == votes(" ".join(varied * 5))[at] == "g"
+    assert votes(" ".join(varied + ["pad", "ding"] * 9000))[at] == votes(" ".join(["pad", "ding"] * 9000 + varied))[at] == "b"
+
+
 def test_quality(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = quality_scores(d).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
