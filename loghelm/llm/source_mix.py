@@ -7,32 +7,43 @@ earliest deadline (ties to the source named first). On one processor this meets
 so after any number of slots each source has had its share of them to within less than one
 block, as long as it has documents left; a source that has run out leaves its slots empty.
 
-Weights are whole parts of `parts` (others are rounded to them by largest remainder), so the
-schedule repeats every `parts` slots. That one period, `parts` rows at most whatever the size
-of the corpus, is worked out on the driver and broadcast; blocks then find their slot by
-division with remainder. Sources without a stated weight are pooled as one source.
+Weights are used as they are: releases and deadlines are worked out in whole numbers in the
+exact proportions of the weights, so the bound holds however long the schedule gets. Slots are
+given on the driver, one step of a heap for each block (not for each document), and written in
+batches of BATCH blocks; blocks then find their slots by a join, shuffled where the table of
+slots is large. Only names and counts of sources go to the driver. Sources without a stated
+weight are pooled as one source.
 
-Numbering the documents of a source never gathers the source in one task: they are dealt by
-hash into buckets of about `bucket_docs`, numbered there, and shifted by the counts of the
-buckets before.
+Numbering the documents of a source never gathers the source in one task: all documents are
+dealt by hash into buckets of about `bucket_docs`, those of a source are numbered in each
+bucket, and shifted by the counts of the buckets before.
 
 Defined cases: a null source counts as pooled, like a source without weight; null ids and
 texts are kept; repeated rows are kept, each with its own place; an empty table gives none;
 clashing column names are avoided by the mix_ prefix, and input columns of those names are
-replaced.
+replaced. Weights so unlike that a block would come after slot 2 ** 52 are refused.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loghelm.llm.common import Scratch
+
 POOLED = ""
 MOST_NAMED = 256
+BATCH = 500_000
+#: blocks without weight come from this slot on
+LATE = 1 << 52
+SLOTS = ("mix_source", "mix_block", "mix_r", "mix_d", "mix_t")
 
 
 def whole_parts(weights: dict[str, float], parts: int) -> dict[str, int]:
@@ -53,22 +64,53 @@ def whole_parts(weights: dict[str, float], parts: int) -> dict[str, int]:
     return got
 
 
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in the exact proportions of the weights: as the short decimals that they
+    stand for, or where these have no small common denominator, as the binary fractions that
+    they are."""
+    common = 1
+    for w in weights:
+        short = Fraction(w).limit_denominator(10**6)
+        common = math.lcm(common, short.denominator)
+        if float(short) != w or common > 10**18:
+            break
+    else:
+        return [int(Fraction(w).limit_denominator(10**6) * common) for w in weights]
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    common = max(d for _, d in ratios)  # all are powers of two
+    return [n * (common // d) for n, d in ratios]
+
+
+def schedule(names: list[str], shares: list[int], blocks: list[int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block, slot by slot.
+
+    Of each source only its next block is held: block k runs before block k + 1 is due to start.
+    """
+    total = sum(shares)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    waiting: list[tuple[int, int, int, int]] = []
+    ready = [(-(-total // shares[i]), at, 0, 0) for at, i in enumerate(order) if blocks[i]]
+    heapq.heapify(ready)
+    slot = 0
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, at, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, at, k, release))
+        deadline, at, k, release = heapq.heappop(ready)
+        i = order[at]
+        yield names[i], k, release, deadline, slot
+        slot += 1
+        if (k := k + 1) < blocks[i]:
+            heapq.heappush(waiting, (k * total // shares[i], -(-(k + 1) * total // shares[i]), at, k))
+
+
 def period(parts_of: dict[str, int], parts: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period, earliest deadline first."""
-    waiting, ready, out = [], [], []
-    for name, n in parts_of.items():
-        for k in range(n):
-            waiting.append((k * parts // n, -(-(k + 1) * parts // n), name, k))
-    waiting.sort()
-    at = 0
-    for slot in range(parts):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, name, k = waiting[at]
-            heapq.heappush(ready, (deadline, name, k, release))
-            at += 1
-        deadline, name, k, release = heapq.heappop(ready)
-        out.append((name, k, release, deadline, slot))
-    return out
+    """(source, block, release, deadline, slot) of the `parts` slots after which whole parts repeat."""
+    if sum(parts_of.values()) != parts:
+        raise ValueError("the parts do not add up")
+    return list(schedule(list(parts_of), list(parts_of.values()), list(parts_of.values())))
 
 
 def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
@@ -83,44 +125,56 @@ def tempered_weights(docs: DataFrame, source_col: str = "source", power: float =
     return weights
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, parts: int = 1024, bucket_docs: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """The schedule as a stored table, written batch by batch."""
+    live = {k: w for k, w in weights.items() if w > 0}
+    rows = schedule(list(live), whole_weights(list(live.values())), [blocks.get(k, 0) for k in live])
+    scratch = Scratch(spark)
+    parts = []
+    while (batch := list(itertools.islice(rows, BATCH))) or not parts:
+        if batch and max(d for _, _, _, d, _ in batch) > LATE:
+            raise ValueError("weights are too unlike: a block would come after slot 2 ** 52")
+        cols = list(zip(*batch, strict=True)) or [[]] * 5
+        types = [pa.string(), *[pa.int64()] * 4]
+        table = pa.table({n: pa.array(c, t) for n, c, t in zip(SLOTS, cols, types, strict=True)})
+        parts.append(scratch.keep(spark.createDataFrame(table)))
+    return spark.read.schema(parts[0].schema).parquet(*[p._loghelm_path for p in parts])
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, parts: int | None = None, bucket_docs: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs with mix_source, mix_block, mix_release, mix_deadline, mix_slot and
-    mix_position (slot by slot, unique). Sources of no weight come after all others."""
+    mix_position (slot by slot, unique). Sources of no weight come after all others. Weights are
+    exact; `parts` asks for whole parts of so many instead (see whole_parts)."""
     spark = docs.sparkSession
     weights = tempered_weights(docs, source_col) if weights is None else dict(weights)
     if len(weights) > MOST_NAMED + 1:
         raise ValueError(f"more than {MOST_NAMED} sources have weights")
+    if not any(w > 0 for w in weights.values()):
+        raise ValueError("no source has a positive weight")
     weights.setdefault(POOLED, 0.0)
-    parts_of = whole_parts(weights, parts)
-    plan = period(parts_of, parts)
+    if parts is not None:
+        weights = {POOLED: 0.0} | {k: float(n) for k, n in whole_parts(weights, parts).items()}
 
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(POOLED))
-    rows = docs.withColumn("mix_source", F.when(name.isin(list(parts_of)), name).otherwise(F.lit(POOLED)))
-    rows = rows.withColumn("mix_hash", F.xxhash64(F.col(id_col), F.col(text_col)))
-    sizes = rows.groupBy("mix_source").count()
-    # a row for each weighted source at most, so a broadcast of bounded size
-    buckets = F.broadcast(sizes.select("mix_source", F.ceil(F.col("count") / bucket_docs).alias("mix_buckets")))
-    rows = rows.join(buckets, "mix_source").withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets"))
+    rows = docs.withColumn("mix_hash", F.xxhash64(F.col(id_col), F.col(text_col)))
+    rows = rows.withColumn("mix_source", F.when(name.isin([k for k, w in weights.items() if w > 0]), name).otherwise(F.lit(POOLED)))
+    counts = {r["mix_source"]: r["count"] for r in rows.groupBy("mix_source").count().toLocalIterator()}
+    slots = _slots(spark, weights, {k: -(-n // block_docs) for k, n in counts.items()})
+
+    rows = rows.withColumn("mix_bucket", F.pmod("mix_hash", F.lit(max(1, math.ceil(sum(counts.values()) / bucket_docs)))))
     before = rows.groupBy("mix_source", "mix_bucket").count()
     before = before.select("mix_source", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
     own = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", F.col(id_col))
     rows = rows.withColumn("mix_nth", F.row_number().over(own) - 1).join(before, ["mix_source", "mix_bucket"])
     nth = F.col("mix_before") + F.col("mix_nth")
     rows = rows.withColumn("mix_block", F.floor(nth / block_docs)).withColumn("mix_within", F.pmod(nth, F.lit(block_docs)))
-
-    slots = spark.createDataFrame([(s, k, r, d, t, parts_of[s]) for s, k, r, d, t in plan], "mix_source string, mix_k long, mix_r long, mix_d long, mix_t long, mix_n long")
-    per = spark.createDataFrame(list(parts_of.items()), "mix_source string, mix_n long")
-    rows = rows.join(F.broadcast(per), "mix_source", "left")
-    turn = F.floor(F.col("mix_block") / F.col("mix_n"))
-    rows = rows.withColumn("mix_turn", turn).withColumn("mix_k", F.pmod("mix_block", "mix_n"))
-    rows = rows.join(F.broadcast(slots.drop("mix_n")), ["mix_source", "mix_k"], "left")
-    late = F.lit(1 << 52)
+    rows = rows.join(slots, ["mix_source", "mix_block"], "left")
     out = {
         "mix_source": F.col("mix_source"),
-        "mix_block": F.col("mix_block").cast("long"),
-        "mix_release": F.col("mix_turn") * parts + F.col("mix_r"),
-        "mix_deadline": F.col("mix_turn") * parts + F.col("mix_d"),
-        "mix_slot": F.coalesce(F.col("mix_turn") * parts + F.col("mix_t"), late + F.col("mix_block")),
+        "mix_block": F.col("mix_block"),
+        "mix_release": F.col("mix_r"),
+        "mix_deadline": F.col("mix_d"),
+        "mix_slot": F.coalesce(F.col("mix_t"), F.lit(LATE) + F.col("mix_block")),
     }
     kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
     out = [v.cast("long").alias(k) if k != "mix_source" else v for k, v in out.items()]

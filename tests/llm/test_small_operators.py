@@ -18,7 +18,7 @@ from loghelm.llm.packing import WordTokenizer, best_two_fit, pack_documents
 from loghelm.llm.permutation_ann import permutation_ann
 from loghelm.llm.quality import LABELLERS, coded, fit_labels, quality_scores, votes
 from loghelm.llm.secret_scan import redact_secrets, secret_scan
-from loghelm.llm.source_mix import mix_sources, period, whole_parts
+from loghelm.llm.source_mix import mix_sources, period, schedule, whole_parts, whole_weights
 from loghelm.llm.toxicity import Grammar, learn_grammar, toxicity_scores, without_toxic
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, rank string"
@@ -204,6 +204,30 @@ def test_mixing_meets_every_deadline(spark):
     assert mix_sources(docs(spark, [])).collect() == []
 
 
+def test_mixing_keeps_exact_weights():
+    # one source of 50,000 documents and twenty of 5,000, in blocks of 8, weighted by square roots
+    names = ["big", *(f"s{i:02}" for i in range(20))]
+    weights = [50_000**0.5] + [5_000**0.5] * 20
+    blocks = [6250] + [625] * 20
+    shares = whole_weights(weights)
+    ran, used = dict.fromkeys(names, 0), -1
+    for name, k, release, deadline, slot in schedule(names, shares, blocks):
+        w = weights[names.index(name)] / sum(weights)
+        assert used < slot and release <= slot < deadline and k == ran[name]
+        assert release <= k / w + 1e-6 and deadline >= (k + 1) / w - 1e-6
+        ran[name], used = ran[name] + 1, slot
+        if ran["s19"] < 625:
+            assert all(abs(ran[n] - (slot + 1) * x / sum(weights)) < 1 for n, x in zip(names, weights))
+    assert list(ran.values()) == blocks
+    assert whole_weights([0.5, 0.3]) == [5, 3] and min(whole_weights([1e-12, 1 / 3])) > 0
+
+
+def test_mixing_uses_exact_weights_by_default(spark):
+    rows = [(i, f"t{i}", "a" if i < 3000 else "b") for i in range(6000)]
+    got = mix_sources(docs(spark, rows), {"a": 1.0, "b": 1 / 3}, block_docs=1).where("mix_source = 'b'").collect()
+    assert all(r.mix_release == 4 * r.mix_block and r.mix_deadline == 4 * r.mix_block + 4 for r in got if r.mix_block < 900)
+
+
 def test_toxicity_grammar_in_context():
     g = Grammar({"dolt": 3.0}, {"clod": 3.0}, [-2.0, 2.0, 3.0, 0.2, 0.1, 2.0])
     score = lambda t: g.score(g.features(t)[0])
