@@ -33,13 +33,15 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loghelm.llm.common import Scratch
 
 POOLED = ""
-MOST_NAMED = 256
+#: stated weights are looked up in the expression up to so many names, beyond it by a join
+INLINE = 256
+SALTS = 16
 BATCH = 500_000
 #: blocks without weight come from this slot on
 LATE = 1 << 52
@@ -114,15 +116,22 @@ def period(parts_of: dict[str, int], parts: int) -> list[tuple[str, int, int, in
 
 
 def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
-    """Weights in proportion to a power of each source's documents: the MOST_NAMED largest
-    sources by name, the rest pooled."""
-    counts = docs.groupBy(F.col(source_col).cast("string").alias("s")).count()
-    named = counts.where(F.col("s").isNotNull() & (F.col("s") != POOLED)).orderBy(F.desc("count"), "s").limit(MOST_NAMED).collect()
-    weights = {r["s"]: float(r["count"]) ** power for r in named}
-    rest = (counts.agg(F.sum("count")).first()[0] or 0) - sum(r["count"] for r in named)
-    if rest or not weights:
-        weights[POOLED] = float(max(rest, 1)) ** power
-    return weights
+    """Weights in proportion to a power of each source's documents, of every source by itself;
+    documents without a source count as one."""
+    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(POOLED)).alias("s")).count()
+    return {r["s"]: float(r["count"]) ** power for r in counts.toLocalIterator()} or {POOLED: 1.0}
+
+
+def _named(rows: DataFrame, name: Column, live: list[str]) -> DataFrame:
+    """rows with mix_source: the name where it has a weight, else POOLED."""
+    if len(live) <= INLINE:
+        return rows.withColumn("mix_source", F.when(name.isin(live), name).otherwise(F.lit(POOLED)))
+    # salted, as a source may have most of the documents
+    known = rows.sparkSession.createDataFrame(pa.table({"mix_name": live}))
+    known = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("mix_salt", F.pmod("mix_hash", F.lit(SALTS)).cast("int")).withColumn("mix_own", name)
+    rows = rows.join(known, (F.col("mix_own") == F.col("mix_name")) & (rows["mix_salt"] == known["mix_salt"]), "left").drop("mix_salt")
+    return rows.withColumn("mix_source", F.coalesce("mix_name", F.lit(POOLED))).drop("mix_own", "mix_name")
 
 
 def _slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
@@ -146,9 +155,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     mix_position (slot by slot, unique). Sources of no weight come after all others. Weights are
     exact; `parts` asks for whole parts of so many instead (see whole_parts)."""
     spark = docs.sparkSession
-    weights = tempered_weights(docs, source_col) if weights is None else dict(weights)
-    if len(weights) > MOST_NAMED + 1:
-        raise ValueError(f"more than {MOST_NAMED} sources have weights")
+    every = weights is None
+    weights = tempered_weights(docs, source_col) if every else dict(weights)
     if not any(w > 0 for w in weights.values()):
         raise ValueError("no source has a positive weight")
     weights.setdefault(POOLED, 0.0)
@@ -157,7 +165,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
 
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(POOLED))
     rows = docs.withColumn("mix_hash", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("mix_source", F.when(name.isin([k for k, w in weights.items() if w > 0]), name).otherwise(F.lit(POOLED)))
+    rows = rows.withColumn("mix_source", name) if every else _named(rows, name, [k for k, w in weights.items() if w > 0])
     counts = {r["mix_source"]: r["count"] for r in rows.groupBy("mix_source").count().toLocalIterator()}
     slots = _slots(spark, weights, {k: -(-n // block_docs) for k, n in counts.items()})
 

@@ -228,6 +228,16 @@ def test_mixing_uses_exact_weights_by_default(spark):
     assert all(r.mix_release == 4 * r.mix_block and r.mix_deadline == 4 * r.mix_block + 4 for r in got if r.mix_block < 900)
 
 
+def test_mixing_knows_every_source(spark):
+    rows = [(i, f"t{i}", f"h{i % 300}") for i in range(600)] + [(900 + i, "n", None) for i in range(4)]
+    own = {r.mix_source for r in mix_sources(docs(spark, rows), block_docs=1).collect()}
+    assert own == {f"h{i}" for i in range(300)} | {""}
+    got = mix_sources(docs(spark, rows), {f"h{i}": 1.0 for i in range(299)}, block_docs=1).collect()
+    assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows)
+    assert {r.mix_source for r in got} == {f"h{i}" for i in range(299)} | {""}
+    assert all(r.mix_release == 299 * r.mix_block <= r.mix_slot < r.mix_deadline for r in got if r.mix_source)
+
+
 def test_toxicity_grammar_in_context():
     g = Grammar({"dolt": 3.0}, {"clod": 3.0}, [-2.0, 2.0, 3.0, 0.2, 0.1, 2.0])
     score = lambda t: g.score(g.features(t)[0])
