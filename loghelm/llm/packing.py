@@ -6,6 +6,11 @@ by two unpacked pieces where these fill the widened gap more tightly. Bins left
 `loose` tokens or more are opened again and packed together, across tasks, in a second round
 over groups of at most about `group` pieces. Only lengths are shuffled, never tokens.
 
+Where an order is given (`order_col`), texts are dealt in that order: a task packs consecutive
+ranges of `range_docs` documents. Loose bins of a range are opened again with the next range of
+the task, once, in place of the second round, so a sequence holds pieces of two neighbouring
+ranges at most. Sequences are numbered range by range, in each by their first document.
+
 Defined cases: null texts are empty; an empty text is the end token alone; null ids and repeated
 rows are packed like any others; an empty table gives no rows; other columns are ignored.
 """
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from loghelm.llm import bytehash
 from loghelm.llm.common import Scratch, text_or_empty
 
+RANGE_DOCS = 2048
+TASK_DOCS = 4 * RANGE_DOCS
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -268,12 +275,42 @@ def _place(frame: pd.DataFrame, capacity: int, round_: int) -> pd.DataFrame:
     return frame.assign(sequence_id=(np.int64(round_) << 60) + (np.int64(part) << 36) + bins, offset=offsets)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, loose: int = 24, group: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _place_in_order(frame: pd.DataFrame, capacity: int, loose: int, range_docs: int) -> pd.DataFrame:
+    """frame, with the column nth (place of the document in the task), packed range by range."""
+    done: list[pd.DataFrame] = []
+    base = 0
+    held = frame.iloc[:0].assign(again=False)
+    cuts = np.searchsorted(frame["nth"].to_numpy(), np.arange(0, frame["nth"].iloc[-1] + range_docs + 1, range_docs))
+    last = len(cuts) - 2
+    for r in range(last + 1):
+        own = pd.concat([held, frame.iloc[cuts[r] : cuts[r + 1]].assign(again=False)], ignore_index=True)
+        bins, offsets = best_two_fit(own["length"].to_numpy(), capacity)
+        n = int(bins.max()) + 1 if len(bins) else 0
+        fill = np.bincount(bins, weights=own["length"].to_numpy(), minlength=n)
+        # a piece opened once already stays where it is now
+        fixed = np.bincount(bins, weights=own["again"].to_numpy(bool), minlength=n) > 0
+        out = np.full(n, r == last) | fixed | (fill > capacity - loose)
+        begin = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(begin, bins, own["nth"].to_numpy())
+        number = np.empty(n, np.int64)
+        order = np.argsort(np.where(out, begin, np.iinfo(np.int64).max), kind="stable")
+        number[order] = np.arange(n)
+        stays = out[bins]
+        done.append(own.assign(sequence_id=base + number[bins], offset=offsets)[stays])
+        base += int(out.sum())
+        held = own[~stays].assign(again=True)
+    part = TaskContext.get().partitionId()
+    whole = pd.concat(done, ignore_index=True)
+    return whole.assign(sequence_id=(np.int64(part) << 36) + whole["sequence_id"]).drop(columns=["nth", "again"])
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, loose: int = 24, group: int = 200_000, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, range_docs: int = RANGE_DOCS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(tokenizer_path)
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
+        nth = 0
         for f in frames:
             for i in range(0, len(f), 512):
                 texts = f["text"].iloc[i : i + 512].tolist()
@@ -281,12 +318,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        for c, x in zip(cols, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        for c, x in zip(cols, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), nth), strict=True):
                             c.append(x)
-        out = pd.DataFrame(dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), cols, strict=True)))
+                    nth += 1
+        out = pd.DataFrame(dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "nth"), cols, strict=True)))
         out["doc_id"] = out["doc_id"].astype("Int64")
         if len(out):
-            yield _place(out, capacity, 0)
+            yield _place(out.drop(columns="nth"), capacity, 0) if order_col is None else _place_in_order(out, capacity, loose, range_docs)
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = list(frames)
@@ -296,6 +334,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
                 yield _place(whole, capacity, 1)
 
     scratch = Scratch(docs.sparkSession)
+    if order_col is not None:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(order_col).alias("at"))
+        # kept before it is dealt: finding the bounds of ranges would work the order out once more
+        rows = scratch.keep(rows)
+        n = max(1, math.ceil(rows.count() / TASK_DOCS))
+        return rows.repartitionByRange(n, "at").sortWithinPartitions("at").select("doc_id", "text").mapInPandas(first, PIECES)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     placed = scratch.keep(read.mapInPandas(first, PIECES))
     fill = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))

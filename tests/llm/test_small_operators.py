@@ -298,6 +298,38 @@ def test_packing_round_trip(spark):
     assert pack_documents(docs(spark, []), path).collect() == []
 
 
+def test_packing_follows_the_mixed_order(spark):
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randint(1, 60), "big" if i % 10 else "small") for i in range(1200)]
+    mixed = mix_sources(docs(spark, rows)).select("doc_id", "text", "mix_position").repartition(5)
+    rank = {r.doc_id: i for i, r in enumerate(sorted(mixed.collect(), key=lambda r: r.mix_position))}
+    got = pack_documents(mixed, q.tokenizer_path(), capacity=64, loose=8, order_col="mix_position", range_docs=100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1200))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    firsts = []
+    for s in sorted(by):
+        own = sorted(by[s], key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and sum(r.length for r in own) <= 64
+        ranges = {rank[r.doc_id] // 100 for r in own}
+        assert max(ranges) - min(ranges) <= 1
+        firsts.append(max(ranges))
+    assert firsts[0] == 0 and all(b >= a - 1 for a, b in zip(firsts, firsts[1:]))
+    assert len(by) <= -(-sum(r.length for r in got) // 64) * 1.1
+    assert pack_documents(mixed.limit(0), q.tokenizer_path(), order_col="mix_position").collect() == []
+
+
+def test_pipeline_packs_in_the_mixed_order(spark):
+    rows = [(i, f"t{i} " + "word " * 90, "big" if i % 10 else "small") for i in range(6000)]
+    d = docs(spark, rows)
+    rank = {r.doc_id: i for i, r in enumerate(sorted(mix_sources(d).select("doc_id", "mix_position").collect(), key=lambda r: r.mix_position))}
+    got = corpus_pipeline.packing(spark, d.repartition(3), SF).select("doc_id", "sequence_id").collect()
+    at = [rank[r.doc_id] for r in sorted(got, key=lambda r: r.sequence_id)]
+    assert len(got) == 6000 and all(abs(i - x) < 2 * 2048 + 64 for i, x in enumerate(at))
+    assert np.corrcoef(at, range(6000))[0, 1] > 0.8
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
