@@ -29,8 +29,9 @@ from loghelm.llm.common import Scratch, text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: vendors' token prefixes, key headers, and long tokens (kept only if they mix classes)
-MORE = r"(?:gh[opsu]_|github_pat_|glpat-|[rs]k_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_.-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{32,}"
+#: tokens with a vendor's prefix, key headers, and long tokens (kept only if they mix classes)
+VENDOR = r"(?:gh[opsu]_|github_pat_|glpat-|[rs]k_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_.-]{16,}"
+MORE = VENDOR + r"|-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{32,}"
 KINDS = ("assign", "access", "hex", "more")
 SALTS = 16
 BROADCAST_ROWS = 50_000
@@ -57,15 +58,18 @@ def _found(text: Column, kind: int, pattern: str, group: int, keep) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def _mixed(value: Column) -> Column:
-    return value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]") | value.startswith("-----BEGIN")
+def _telling(value: Column) -> Column:
+    """Whether a further candidate counts: with a vendor's prefix, also inside a longer token, and
+    as a key header always; any other long token if it mixes classes."""
+    mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
+    return mixed | value.startswith("-----BEGIN") | value.rlike("(?:^|[+/_-])" + VENDOR)
 
 
 def with_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with secret_base and secret_more (arrays of spans), secret_row and secret_owner."""
     text = text_or_empty(text_col)
     base = F.concat(_found(text, 0, ASSIGN, 2, lambda v: F.length(v) >= 6), _found(text, 1, ACCESS, 0, lambda v: F.lit(True)), _found(text, 2, HEX, 0, lambda v: F.lit(True)))
-    out = docs.withColumn("secret_base", F.array_sort(base)).withColumn("secret_more", _found(text, 3, MORE, 0, _mixed))
+    out = docs.withColumn("secret_base", F.array_sort(base)).withColumn("secret_more", _found(text, 3, MORE, 0, _telling))
     free = F.filter("secret_more", lambda m: ~F.exists("secret_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return out.withColumn("secret_more", free).withColumn("secret_row", F.xxhash64(F.col(id_col), text)).withColumn("secret_owner", F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")))
 

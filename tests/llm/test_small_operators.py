@@ -360,6 +360,15 @@ def test_copied_examples_and_live_secrets(spark):
     assert text[0] == rows[0][1] and text[9] == "é <secret> end"
 
 
+def test_vendor_tokens_need_not_mix_classes(spark):
+    tokens = ["xoxb-123456789012-abcdefghijklmnop", "sk_live_" + "abcd" * 5, "glpat-" + "abcdefgh" * 2, "AIza" + "B" * 20]
+    rows = [(i, f"see {t} end", f"s{i}") for i, t in enumerate(tokens)] + [(10, "see " + "g" * 40 + " end", "s1"), (11, "see files/from/" + tokens[1] + " end", "s2")]
+    got = {r.doc_id: r.spans for r in secret_scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == [f"more:4:{4 + len(t)}" for t in tokens]
+    assert got[10] == "" and got[11] == f"more:4:{4 + 11 + len(tokens[1])}"
+    assert redact_secrets(docs(spark, rows[:1])).first().text == "see <secret> end"
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_pipeline_stages_keep_columns(spark, k):
     d = spark.read.parquet(f"{SF}/documents.parquet")
