@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: seconds between two calls of the cleaner
+CLEAN_S = 4.0
+_cleaned = 0.0
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or a local one where it is unset.
+    """Folder that every executor sees: spark.checkpoint.dir.
 
-    The local folder is for single-machine sessions (tests, bench) only.
+    Where it is unset, a session on one machine (tests, bench) gets a folder that goes with the
+    process; on a cluster no local folder would do, so it is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loghelm-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="loghelm-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -50,9 +63,17 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished jobs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files of finished jobs, every few seconds at most."""
+    global _cleaned
+    if time.monotonic() - _cleaned > CLEAN_S:
+        gc.collect()
+        spark._jvm.System.gc()
+        _cleaned = time.monotonic()
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no column of theirs can clash with a new one."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def text_or_empty(col: str) -> Column:

@@ -44,7 +44,8 @@ class WordTokenizer:
     The file's rules (NFC, lower case, split into words by its pattern) are applied here, and
     only words not seen before are given to the library. Texts of ASCII and Latin-1 letters are
     split and looked up as arrays; other texts word by word; texts with characters on which the
-    rules could differ between libraries are given to the library whole.
+    rules could differ between libraries are given to the library whole. Words are looked up by
+    hash, then compared byte by byte; texts with two words of one hash go to the library whole.
     """
 
     KEPT_WORDS = 800_000
@@ -74,6 +75,9 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
+        self.held = np.zeros(0, np.uint8)  # the words' bytes
+        self.held_at = np.zeros(0, np.int64)
+        self.held_size = np.zeros(0, np.int64)
         self.order = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
@@ -96,8 +100,12 @@ class WordTokenizer:
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids, sizes = self._bpe(words)
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes = self._bpe([w.decode("latin-1") for w in words])
+        n_bytes = np.asarray([len(w) for w in words], np.int64)
+        self.held_at = np.concatenate([self.held_at, len(self.held) + np.cumsum(n_bytes) - n_bytes])
+        self.held_size = np.concatenate([self.held_size, n_bytes])
+        self.held = np.concatenate([self.held, np.frombuffer(b"".join(words), np.uint8)])
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         order = np.arange(len(self.starts), len(self.starts) + len(words))
         self.flat = np.concatenate([self.flat, ids])
@@ -118,7 +126,7 @@ class WordTokenizer:
         turns = np.nonzero(turns)[0]
         word = kind[turns[:-1]] != 3
         begin, stop = turns[:-1][word], turns[1:][word]
-        hashes = bytehash.range_hash(bytehash.prefix(data), begin, stop)
+        hashes = bytehash.word_hashes(data, begin, stop)
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(own) + len(self.hashes) > self.KEPT_WORDS:
             self._forget()
@@ -126,9 +134,18 @@ class WordTokenizer:
         new = np.ones(len(own), bool)
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != own[inside]
+        size, same = stop - begin, first[inverse]
+        old, known = first[~new], self.order[at[~new]]
+        if not (
+            (size == size[same]).all()
+            and (size[old] == self.held_size[known]).all()
+            and bytehash.same_bytes(data, begin, data, begin[same], size).all()
+            and bytehash.same_bytes(data, begin[old], self.held, self.held_at[known], size[old]).all()
+        ):
+            return [np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
         if new.any():
             f = first[new]
-            self._learn(own[new], [raw[a:b].decode("latin-1") for a, b in zip(begin[f].tolist(), stop[f].tolist(), strict=True)])
+            self._learn(own[new], [raw[a:b] for a, b in zip(begin[f].tolist(), stop[f].tolist(), strict=True)])
         where = self.order[np.searchsorted(self.hashes, own)][inverse]
         n = self.lengths[where]
         ends = np.cumsum(n)

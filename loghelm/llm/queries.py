@@ -34,7 +34,7 @@ def op1_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_classes(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return with_classes(_table(spark, sf_dir, "documents"), width=4, num=85, den=100).drop("class_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
