@@ -7,24 +7,32 @@ place; a negative weight adds the complement), which gives the bit slices of eve
 inner product. The top rows are then selected from the most significant slice downward, and
 the rows that tie at the boundary are resolved exactly by vec_id.
 
-Defined cases: null, empty or non-finite vectors and null ids take no part; nor do vectors
-with a component of magnitude above 2**26 after scaling, whose products could overflow 64
-bits. Vectors of another dimension than the query's are no candidates. Repeated ids count
-once (smallest vector). An empty table gives no rows. Extra columns are ignored.
+Sums may be of any width: components beyond 62 bits are held as whole numbers without bound, and
+slices are added place by place. Only a reported score must fit 64 bits; if one doesn't, the
+search ends with an error that says so.
+
+Defined cases: null, empty or non-finite vectors and null ids take no part. Vectors of another
+dimension than the query's are no candidates. Rows that repeat an id are all candidates; such an
+id asks once (smallest vector), and no row of its own id answers a query. An empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from loghelm.llm.vector_blocks import best, meet, unpack, usable
+from loghelm.llm.vector_blocks import asked, best, search, usable
+
+NARROW = float(1 << 62)
 
-LIMIT = float(1 << 26)
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """Whole numbers held as doubles, as integers that cannot overflow."""
+    if np.abs(values).max(initial=0) < NARROW / 2:
+        return values.astype(np.int64)
+    return np.asarray([int(x) for x in values.ravel()], object).reshape(values.shape)
 
 
 class BitSlicedBlock:
@@ -34,7 +42,7 @@ class BitSlicedBlock:
         self.rows = rows
         self.n, self.dim = rows.shape
         self.low = rows.min(axis=0)
-        lifted = (rows - self.low).T
+        lifted = (rows - self.low).T  # whole() leaves room for the difference
         self.bits = [int(x).bit_length() for x in lifted.max(axis=1)]
         words = -(-self.n // 64)
         self.valid = _bitmap(np.ones(self.n, bool), words)
@@ -114,26 +122,29 @@ def _add(places: dict[int, list[np.ndarray]], words: int) -> list[np.ndarray]:
     return out
 
 
+def exact_scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, refused if one does not fit 64 bits."""
+    out = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in rows]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in out):
+        raise OverflowError("the inner product of a result does not fit 64 bits")
+    return np.asarray(out, np.int64)
+
+
 def bitsliced_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k rows of largest integer inner product.
 
     `is_query` is a condition on the column vec_id.
     """
     rows = usable(vectors, id_col, vec_col)
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) <= LIMIT))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                ids, mat = unpack(row.ids, row.vecs, row.dim)
-                q_ids, q_mat = unpack(row.q_ids, row.q_vecs, row.dim)
-                mat, q_mat = mat.astype(np.int64), q_mat.astype(np.int64)
-                index = BitSlicedBlock(mat)
-                for q_id, q in zip(q_ids, q_mat, strict=True):
-                    at = index.top(q, k, ids, q_id)
-                    if len(at):
-                        yield pd.DataFrame({"query_id": q_id, "vec_id": ids[at], "score": mat[at] @ q})
-
-    found = meet(rows, rows.where(is_query)).mapInPandas(search, "query_id long, vec_id long, score long")
-    return best(found, k, "long")
+
+    def build(ids: np.ndarray, mat: np.ndarray) -> tuple:
+        mat = whole(np.floor(mat * scale))
+        return ids, mat, BitSlicedBlock(mat)
+
+    def find(index: tuple, query_id: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, mat, sliced = index
+        q = whole(np.floor(q * scale))
+        at = sliced.top(q, k, ids, query_id)
+        return ids[at], exact_scores(mat[at], q)
+
+    return best(search(rows, asked(rows, is_query), build, find, pa.int64()), k)

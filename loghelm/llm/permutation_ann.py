@@ -1,30 +1,32 @@
 """Approximate nearest neighbours with a permutation index.
 
 A bounded sample of vectors gives the pivots. Every vector is represented by the order of its
-nearest pivots and posted, with the position of the pivot in that order, in the inverted file
-of each of them. A query visits the inverted files of its own nearest pivots, which yields the
-footrule distance between the two (cut) orders; the closest rows by footrule are reranked by
-the exact inner product in double precision.
+`kept` nearest pivots and posted, with its place, in the inverted file of each of them. A query
+visits the inverted files of its own nearest pivots only, which yields the footrule distance
+between the two (cut) orders of every row met there; the closest rows by footrule, a `share` of
+all, are reranked by the exact inner product in double precision.
 
 The inverted files are kept per block of at most BLOCK_ROWS vectors, so that a pivot near a
-third of all rows makes no long list, and the share of rows reranked is the same at any size.
-Every row is indexed; only the pivots come from a sample of PIVOT_SAMPLE vectors.
-
-Defined cases: null, empty, zero or non-finite vectors and null ids take no part; repeated
-ids count once (smallest vector); ties by footrule at the candidate boundary are all reranked;
-ties by score go to the smaller vec_id; an empty table gives no rows; extra columns are ignored.
+third of all rows makes no long list, and the share of rows reranked is the same in each block
+and at any size. Every row is indexed; only the pivots come from a sample of PIVOT_SAMPLE vectors.
+
+Defined cases: null, empty, zero or non-finite vectors and null ids take no part; rows that repeat
+an id are all candidates; such an id asks once (smallest vector), and no row of its own id
+answers a query; ties by footrule at the candidate boundary are all reranked; ties by score go to
+the smaller vec_id; a dimension of which the sample has no vector is searched exactly; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.vector_blocks import best, meet, unpack, usable
+from loghelm.llm.vector_blocks import BLOCK_ROWS, asked, best, search, usable
 
 PIVOT_SAMPLE = 4096
 
@@ -66,16 +68,15 @@ def positions(mat: np.ndarray, pivots: np.ndarray, kept: int) -> np.ndarray:
 
 
 class InvertedFiles:
-    """For each pivot, how near it is to each row of a block: `kept` less its place in the row's
-    order, and 0 for rows that lack it. The files of a block are held as one byte per row, which
-    is less than lists of rows would take, as every row is in half of the files."""
+    """For each pivot, the rows of a block that have it in their order, and how near it is to each:
+    `kept` less its place. The files lie one after the other; `starts` tells where each begins."""
 
     def __init__(self, order: np.ndarray, n_pivots: int):
         self.n, self.kept = order.shape
-        self.near = np.zeros((n_pivots, self.n), np.uint8)
-        rows = np.arange(self.n)
-        for place in range(self.kept):
-            self.near[order[:, place], rows] = self.kept - place
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        self.rows = (by_pivot // self.kept).astype(np.int32)
+        self.near = (self.kept - by_pivot % self.kept).astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(order.ravel(), minlength=n_pivots))])
 
     def footrule(self, own: np.ndarray) -> np.ndarray:
         """Footrule distance to each row; a pivot missing from an order stands at place `kept`.
@@ -83,40 +84,35 @@ class InvertedFiles:
         |a - b| = (k - a) + (k - b) - 2 min(k - a, k - b): the first two sums are the same for
         all rows, and the files of the query's own pivots give the third.
         """
-        shared = np.minimum(self.near[own], (self.kept - np.arange(len(own), dtype=np.uint8))[:, None]).sum(axis=0, dtype=np.uint16)
-        return self.kept * (self.kept + 1) - 2 * shared.astype(np.int32)
+        files = [slice(self.starts[p], self.starts[p + 1]) for p in own]
+        rows = np.concatenate([self.rows[f] for f in files])
+        shared = np.concatenate([np.minimum(self.near[f], self.kept - place) for place, f in enumerate(files)])
+        met = np.bincount(rows, weights=shared, minlength=self.n)
+        return self.kept * (self.kept + 1) - 2 * met.astype(np.int64)
 
 
-def permutation_ann(vectors: DataFrame, is_query: Column, k: int = 20, n_pivots: int = 128, kept: int = 64, share: float = 0.14, least: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def permutation_ann(vectors: DataFrame, is_query: Column, k: int = 20, n_pivots: int = 256, kept: int = 64, share: float = 0.25, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found, by largest inner product.
 
-    `share` of each block, and `least` rows at least, are reranked. `is_query` is a condition
-    on the column vec_id.
+    `share` of each block is reranked. `is_query` is a condition on the column vec_id.
     """
     rows = usable(vectors, id_col, vec_col, allow_zero=False)
     pivots = choose_pivots(rows, n_pivots)
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                ids, mat = unpack(row.ids, row.vecs, row.dim)
-                q_ids, q_mat = unpack(row.q_ids, row.q_vecs, row.dim)
-                own = pivots.get(row.dim)
-                n_c = max(least, int(share * len(ids)))
-                if own is not None:
-                    index = InvertedFiles(positions(mat, own, kept), len(own))
-                    q_order = positions(q_mat, own, kept)
-                for i, (q_id, q) in enumerate(zip(q_ids, q_mat, strict=True)):
-                    if own is None or len(ids) <= n_c:
-                        at = np.arange(len(ids))
-                    else:
-                        apart = index.footrule(q_order[i])
-                        at = np.nonzero(apart <= np.partition(apart, n_c - 1)[n_c - 1])[0]
-                    at = at[ids[at] != q_id]
-                    score = np.einsum("ij,j->i", mat[at], q)
-                    first = np.lexsort((ids[at], -score))[:k]
-                    if len(first):
-                        yield pd.DataFrame({"query_id": q_id, "vec_id": ids[at[first]], "score": score[first]})
-
-    found = meet(rows, rows.where(is_query)).mapInPandas(search, "query_id long, vec_id long, score double")
-    return best(found, k, "double")
+    def build(ids: np.ndarray, mat: np.ndarray) -> tuple:
+        own = pivots.get(mat.shape[1])
+        return ids, mat, own, None if own is None else InvertedFiles(positions(mat, own, kept), len(own))
+
+    def find(index: tuple, query_id: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, mat, own, files = index
+        n_c = max(k + 1, math.ceil(share * len(ids)))
+        at = np.arange(len(ids))
+        if files is not None and n_c < len(ids):
+            apart = files.footrule(positions(q[None], own, kept)[0])
+            at = np.nonzero(apart <= np.partition(apart, n_c - 1)[n_c - 1])[0]
+        at = at[ids[at] != query_id]
+        score = np.einsum("ij,j->i", mat[at], q)
+        first = np.lexsort((ids[at], -score))[:k]
+        return ids[at[first]], score[first]
+
+    return best(search(rows, asked(rows, is_query), build, find, pa.float64(), block_rows), k)

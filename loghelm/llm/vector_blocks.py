@@ -1,101 +1,90 @@
-"""Vectors packed into bounded blocks, and query blocks met with row blocks.
+"""Vectors dealt into bounded blocks, and every query sent to every block.
 
-A search of a stated query set reads all rows in blocks of at most BLOCK_ROWS vectors, so no
-task ever holds more than one row block and one query block. Query blocks are broadcast only
-when their checked size is below BROADCAST_BYTES; beyond it they are joined by shuffle.
+A search of a stated query set reads all rows in blocks of at most about BLOCK_BYTES of vectors.
+Rows are shuffled once, to the task of their block, and never copied; what is copied to each
+block are the queries. A task holds one block, with the index that is built of it once, and one
+batch of queries, which come after the block's rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 256
-BROADCAST_BYTES = 64 << 20
-
-BLOCK_SCHEMA = "dim int, n int, ids binary, vecs binary"
+BLOCK_BYTES = 64 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool = True) -> DataFrame:
-    """(vec_id long, v array<double>): vectors without null or non-finite components.
-
-    Null ids, null and empty vectors take no part. Rows that repeat an id count once, with the
-    smallest of their vectors.
-    """
+    """(vec_id long, v array<double>): rows with an id and a vector without null or non-finite
+    components; empty vectors take no part."""
     v = F.col(vec_col).cast("array<double>")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     out = out.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & good)
-    if not allow_zero:
-        out = out.where(F.exists("v", lambda x: x != 0))
-    return out.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def _pack(limit: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int, parts: list) -> pa.RecordBatch:
-            ids = np.concatenate([p[0] for p in parts])
-            vecs = np.concatenate([p[1] for p in parts])
-            return pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([vecs.tobytes()], pa.binary())}
-            )
-
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-            for dim in np.unique(sizes):
-                at = np.nonzero(sizes == dim)[0]
-                mat = flat[starts[at][:, None] + np.arange(dim)[None, :]]
-                for i in range(0, len(at), limit):
-                    parts = held.setdefault(int(dim), [])
-                    parts.append((ids[at[i : i + limit]], mat[i : i + limit]))
-                    if sum(len(p[0]) for p in parts) + limit > limit * 2 or sum(len(p[0]) for p in parts) >= limit:
-                        yield out(int(dim), held.pop(int(dim)))
-        for dim, parts in held.items():
-            yield out(dim, parts)
-
-    return pack
-
-
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows of BLOCK_SCHEMA, with about `rows` vectors of one dimension each."""
-    n = vectors.count()
-    return vectors.repartition(max(1, math.ceil(n / rows))).mapInArrow(_pack(rows), BLOCK_SCHEMA)
-
-
-def meet(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row for each (row block, query block) of equal dimension, spread over tasks."""
-    n_q = queries.count()
-    dims = queries.select(F.max(F.size("v"))).first()[0] or 1
-    q_parts = max(1, math.ceil(n_q / QUERY_ROWS))
-    q = queries.repartition(q_parts).mapInArrow(_pack(QUERY_ROWS), BLOCK_SCHEMA)
-    q = q.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    if n_q * (dims + 1) * 8 <= BROADCAST_BYTES:
-        q = F.broadcast(q)
-    rows = blocks(vectors, BLOCK_ROWS)
-    n_pairs = q_parts * max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    return rows.join(q, "dim").repartition(max(1, n_pairs))
-
-
-def unpack(ids: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vecs, np.float64).reshape(len(i), dim)
-
-
-def best(found: DataFrame, k: int, score_type: str) -> DataFrame:
+    return out if allow_zero else out.where(F.exists("v", lambda x: x != 0))
+
+
+def asked(rows: DataFrame, is_query: Column) -> DataFrame:
+    """The queries among rows: an id that repeats asks once, with the smallest of its vectors."""
+    return rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """((dim, block), kind, ids, vectors) of each run of rows that share the first three."""
+    dim, block, kind, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    lists = batch.column(4)
+    at = lists.offsets.to_numpy()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    turns = np.nonzero((dim[1:] != dim[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]))[0] + 1
+    cuts = [0, *turns.tolist(), len(dim)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield (int(dim[a]), int(block[a])), int(kind[a]), ids[a:b], flat[at[a] - at[0] : at[b] - at[0]].reshape(b - a, int(dim[a]))
+
+
+def search(rows: DataFrame, queries: DataFrame, build: Callable, find: Callable, score: pa.DataType, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, vec_id, score) of what `find(index, query_id, query)` gives as (ids, scores), for
+    each query and each block; `build(ids, vectors)` makes a block's index."""
+    seen = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n = max(1, math.ceil(seen[0] / max(1, min(block_rows, BLOCK_BYTES // (8 * (seen[1] or 1))))))
+    dim = F.size("v").alias("dim")
+    own = rows.select(dim, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
+    sent = queries.select(dim, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
+    # more tasks than blocks, so that hardly a task gets two of them
+    dealt = own.unionByName(sent).repartition(4 * n, "dim", "block").sortWithinPartitions("dim", "block", "kind")
+    names = ("query_id", "vec_id", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, index = None, [], None
+        for batch in batches:
+            out = []
+            for at, kind, ids, vectors in _runs(batch):
+                if at != key:
+                    key, parts, index = at, [], None
+                if kind == 0:
+                    parts.append((ids, vectors))
+                    continue
+                if not parts:  # no rows of this dimension in the block
+                    continue
+                if index is None:
+                    index = build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                for query_id, q in zip(ids.tolist(), vectors, strict=True):
+                    found, scores = find(index, query_id, q)
+                    out.append((np.full(len(found), query_id, np.int64), found, scores))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], score)], names)
+
+    return dealt.mapInArrow(run, f"query_id long, vec_id long, score {'long' if score == pa.int64() else 'double'}")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query: larger score first, ties to the smaller vec_id."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score_type).alias("score"))
+    return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
