@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: seconds between two calls of the cleaner
-CLEAN_S = 4.0
-_cleaned = 0.0
+#: seconds that a step takes at least if it leaves shuffle files worth a call of the cleaner
+CLEAN_S = 1.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +48,10 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
+        began = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
-        free_shuffles(self.spark)
+        if time.monotonic() - began > CLEAN_S:
+            free_shuffles(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loghelm_path = path
         return out
@@ -63,12 +64,9 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished jobs, every few seconds at most."""
-    global _cleaned
-    if time.monotonic() - _cleaned > CLEAN_S:
-        gc.collect()
-        spark._jvm.System.gc()
-        _cleaned = time.monotonic()
+    """Let Spark's cleaner delete shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def whole_row(docs: DataFrame) -> Column:

@@ -7,8 +7,11 @@ up to `clusters` centroids, from spherical k-means over its sample. A text belon
 language of the centroid with the largest cosine; its score is that cosine. A text further from
 its centroid than all but REJECTED of the sample were from theirs is marked as rejected.
 
-Learning reads non-null languages of the training fold only: PER_LANGUAGE texts of each language
-at most (those with the smallest hashes of id), a documented bound. Every whole text is scored.
+Learning reads non-null languages of the training fold only: of the LANGUAGES languages with most
+texts (ties to the first in order), a sample of about PER_LANGUAGE texts of each, and of about
+SAMPLE texts in all, by hash of id and text. These are documented bounds of the fit. The sample is
+drawn by filter, at a rate worked out from counts, so no language meets in one task and no text
+is shuffled. Every whole text is scored.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; very long texts are
 counted piece by piece; ties go to the language first in order; with nothing to learn from, every
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.llm.bytehash import mix
@@ -31,7 +34,8 @@ from loghelm.llm.common import train_fold
 
 DIMS = 4096
 PER_LANGUAGE = 1024
-SALTS = 16
+LANGUAGES = 256
+SAMPLE = 8192
 REJECTED = 0.01
 PIECE = 200_000
 
@@ -105,13 +109,16 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
     return c, (x @ c.T).argmax(axis=1)
 
 
-def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = PER_LANGUAGE) -> Centroids | None:
+def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, sample: int = SAMPLE) -> Centroids | None:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train_fold("id")).withColumn("h", F.xxhash64("id"))
-    # a few rows of each salt, so that no task sees all rows of a language
-    keys = rows.select("id", "h", "lang", F.xxhash64("text").alias("text_hash"))
-    chosen = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "text_hash"))).where(F.col("n") <= per_language // SALTS).select("h").distinct()
-    picked = rows.join(chosen, "h", "left_semi").select("lang", "text")
+    rows = rows.where(F.col("lang").isNotNull() & train_fold("id"))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()  # `languages` rows
+    if not most:
+        return None
+    share = min(per_language, sample // len(most))
+    rate = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, share / r["count"]))])
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.where(F.col("text").isNotNull() & (drawn < F.coalesce(rate[F.col("lang")], F.lit(0.0)))).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -119,7 +126,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(f):
                 yield pd.DataFrame({"lang": f["lang"].to_numpy(), "x": [np.sqrt(counts(t)).astype(np.float16).tobytes() for t in f["text"]]})
 
-    got = picked.mapInPandas(count, "lang string, x binary").toPandas()  # per_language of each language
+    got = picked.mapInPandas(count, "lang string, x binary").toPandas()  # about `sample` rows
     if not len(got):
         return None
     got = got.sort_values(["lang", "x"], ignore_index=True)

@@ -46,8 +46,7 @@ def op4_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs).drop("text")
+    return mix_sources(_table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ bucket, and shifted by the counts of the buckets before.
 
 Defined cases: a null source counts as pooled, like a source without weight; null ids and
 texts are kept; repeated rows are kept, each with its own place; an empty table gives none;
-clashing column names are avoided by the mix_ prefix, and input columns of those names are
-replaced. Weights so unlike that a block would come after slot 2 ** 52 are refused.
+columns of any name are carried along, but mix_sources replaces input columns that have the
+names of its own. Weights so unlike that a block would come after slot 2 ** 52 are refused.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import Scratch
+from loghelm.llm.common import Scratch, whole_row
 
 POOLED = ""
 #: stated weights are looked up in the expression up to so many names, beyond it by a join
@@ -45,6 +45,7 @@ SALTS = 16
 BATCH = 500_000
 #: blocks without weight come from this slot on
 LATE = 1 << 52
+ADDED = ("mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 SLOTS = ("mix_source", "mix_block", "mix_r", "mix_d", "mix_t")
 
 
@@ -125,13 +126,13 @@ def tempered_weights(docs: DataFrame, source_col: str = "source", power: float =
 def _named(rows: DataFrame, name: Column, live: list[str]) -> DataFrame:
     """rows with mix_source: the name where it has a weight, else POOLED."""
     if len(live) <= INLINE:
-        return rows.withColumn("mix_source", F.when(name.isin(live), name).otherwise(F.lit(POOLED)))
+        return rows.withColumn("mix_source", F.when(name.isin(live), name).otherwise(F.lit(POOLED))).drop("mix_name")
     # salted, as a source may have most of the documents
-    known = rows.sparkSession.createDataFrame(pa.table({"mix_name": live}))
+    known = rows.sparkSession.createDataFrame(pa.table({"mix_known": live}))
     known = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("mix_salt", F.pmod("mix_hash", F.lit(SALTS)).cast("int")).withColumn("mix_own", name)
-    rows = rows.join(known, (F.col("mix_own") == F.col("mix_name")) & (rows["mix_salt"] == known["mix_salt"]), "left").drop("mix_salt")
-    return rows.withColumn("mix_source", F.coalesce("mix_name", F.lit(POOLED))).drop("mix_own", "mix_name")
+    rows = rows.join(known, (F.col("mix_own") == F.col("mix_known")) & (rows["mix_salt"] == known["mix_salt"]), "left").drop("mix_salt")
+    return rows.withColumn("mix_source", F.coalesce("mix_known", F.lit(POOLED))).drop("mix_own", "mix_known", "mix_name")
 
 
 def _slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
@@ -150,10 +151,16 @@ def _slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int
     return spark.read.schema(parts[0].schema).parquet(*[p._loghelm_path for p in parts])
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, parts: int | None = None, bucket_docs: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs with mix_source, mix_block, mix_release, mix_deadline, mix_slot and
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, parts: int | None = None, bucket_docs: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs (of them `carry` only, if given) with mix_source, mix_block, mix_release, mix_deadline, mix_slot and
     mix_position (slot by slot, unique). Sources of no weight come after all others. Weights are
     exact; `parts` asks for whole parts of so many instead (see whole_parts)."""
+    mixed = _mixed(docs, weights, block_docs, parts, bucket_docs, source_col, id_col, text_col, carry)
+    return mixed.select(*[F.col(f"mix_row.`{c}`") for c in carry or docs.columns if c not in ADDED], *ADDED)
+
+
+def _mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, parts: int | None = None, bucket_docs: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The rows of docs as the struct mix_row, with the columns ADDED."""
     spark = docs.sparkSession
     every = weights is None
     weights = tempered_weights(docs, source_col) if every else dict(weights)
@@ -164,15 +171,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         weights = {POOLED: 0.0} | {k: float(n) for k, n in whole_parts(weights, parts).items()}
 
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(POOLED))
-    rows = docs.withColumn("mix_hash", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("mix_source", name) if every else _named(rows, name, [k for k, w in weights.items() if w > 0])
+    rows = docs.select(whole_row(docs.select(*[F.col(f"`{c}`") for c in carry or docs.columns])).alias("mix_row"), F.col(id_col).alias("mix_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mix_hash"), name.alias("mix_name"))
+    name = F.col("mix_name")
+    rows = rows.withColumnRenamed("mix_name", "mix_source") if every else _named(rows, name, [k for k, w in weights.items() if w > 0])
     counts = {r["mix_source"]: r["count"] for r in rows.groupBy("mix_source").count().toLocalIterator()}
     slots = _slots(spark, weights, {k: -(-n // block_docs) for k, n in counts.items()})
 
     rows = rows.withColumn("mix_bucket", F.pmod("mix_hash", F.lit(max(1, math.ceil(sum(counts.values()) / bucket_docs)))))
     before = rows.groupBy("mix_source", "mix_bucket").count()
     before = before.select("mix_source", "mix_bucket", (F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
-    own = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", F.col(id_col))
+    own = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id")
     rows = rows.withColumn("mix_nth", F.row_number().over(own) - 1).join(before, ["mix_source", "mix_bucket"])
     nth = F.col("mix_before") + F.col("mix_nth")
     rows = rows.withColumn("mix_block", F.floor(nth / block_docs)).withColumn("mix_within", F.pmod(nth, F.lit(block_docs)))
@@ -184,12 +192,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         "mix_deadline": F.col("mix_d"),
         "mix_slot": F.coalesce(F.col("mix_t"), F.lit(LATE) + F.col("mix_block")),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
     out = [v.cast("long").alias(k) if k != "mix_source" else v for k, v in out.items()]
-    return rows.select(*kept, *out, "mix_within").withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_within")).drop("mix_within")
+    return rows.select("mix_row", *out, "mix_within").withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_within")).drop("mix_within")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs, laid out in files in the order of mix_position."""
-    mixed = mix_sources(docs, **options)
-    return mixed.orderBy("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _mixed(docs, **options).orderBy("mix_position").select("mix_row.*")

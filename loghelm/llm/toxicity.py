@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.llm.bytehash import mix
-from loghelm.llm.common import text_or_empty, train_fold
+from loghelm.llm.common import text_or_empty, train_fold, whole_row
 
 SAMPLE_ROWS = 24_000
 LEAST_SEEN = 5
@@ -281,6 +281,5 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, i
 
 def without_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with the columns of docs."""
-    score = toxicity_udf(grammar)(text_or_empty(text_col))
-    out = docs.withColumn("toxicity_score_", score["score"]).where(F.col("toxicity_score_") < threshold)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(whole_row(docs).alias("row"), toxicity_udf(grammar)(text_or_empty(text_col)).alias("told"))
+    return held.where(F.col("told.score") < threshold).select("row.*")
