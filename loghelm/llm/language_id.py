@@ -118,7 +118,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = min(per_language, sample // len(most))
     rate = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, share / r["count"]))])
     drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(F.col("text").isNotNull() & (drawn < F.coalesce(rate[F.col("lang")], F.lit(0.0)))).select("lang", "text")
+    picked = rows.where(F.col("text").isNotNull() & (drawn < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause: insult (words and word beginnings, with weights
-learned from labels), threat (an intent or a command, then within a few words an act of harm),
-target (a person spoken to or of), negation and reported speech. Their composition is one
-weighted automaton that walks a clause word by word; its state is the set of contexts open at
-that word, each with the words it still reaches over. An insult or an act of harm is emitted
-with the weight of the context it stands in: plain, aimed at a target, negated or reported.
-The weights emitted are added over matched clauses, never over isolated words of a text, and a
-logistic model, learned with them, turns the sums into a score.
+Five transducers read the words of a clause. Negation, reported speech and target each open a
+context at their words and keep it open over a number of words (their states count down);
+threat opens at an intent or a command and emits at an act of harm while open; insult emits the
+weight, learned from labels, of an insulting word or word beginning. Their composition is one
+weighted automaton: its states are tuples of theirs, made as they are met, and its arcs, over
+sets of word classes, say in which context an insult or an act of harm stands. Whether a clause
+has a target may come last, so emissions that wait for it are settled at the clause's end, as
+final outputs: a negated or reported insult weighs as such, one in a clause with a target as
+aimed, any other as plain, and an act of harm is a threat only with a target, and neither negated
+nor reported. The weights emitted are added over matched clauses, never over isolated words of a
+text, and a logistic model, learned with them, turns the sums into a score; an aimed insult always
+counts for more than a plain one. A clause is walked whole and once, whatever its length.
 
 Learning reads labelled rows of the training fold only, SAMPLE_ROWS of them at most (those with
 the smallest hash of id; a documented bound). Counts over that sample find the insult lexicon:
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.llm.bytehash import mix
-from loghelm.llm.common import text_or_empty, train_fold, whole_row
+from loghelm.llm.common import Scratch, text_or_empty, train_fold, whole_row
 
 SAMPLE_ROWS = 24_000
 LEAST_SEEN = 5
@@ -51,21 +56,88 @@ TARGET = frozenset("you your you're yourself u they them he she him her his peop
 INTENT = frozenset("will i'll we'll gonna going must should deserve deserves better werde werden wirst sollst verdienst vais va allons dois mérites voy vamos debes mereces".split())
 HARM = frozenset("kill killed murder hurt stab shoot strangle burn hang destroy beat rape töten umbringen erschießen verprügeln verbrennen tuer assassiner frapper brûler pendre matar asesinar golpear quemar colgar".split())
 
-#: words over which a context reaches
-REACH = {"negated": 3, "reported": 12, "aimed": 6, "meant": 5}
+#: classes of words, as bits
+NEGATES, REPORTS, AIMS, MEANS, HARMS, INSULTS = (1 << i for i in range(6))
+CLASS: dict[str, int] = {}
+for _bit, _words in ((NEGATES, NEGATION), (REPORTS, REPORTED), (AIMS, TARGET), (MEANS, INTENT), (HARMS, HARM)):
+    for _word in _words:
+        CLASS[_word] = CLASS.get(_word, 0) | _bit
 FEATURES = ("plain", "aimed", "negated", "reported", "threat")
+HARM_WEIGHT = 3.0
+#: by how much more an aimed insult counts than a plain one, at least
+AIMED_MORE = 0.5
+
+
+@dataclass(frozen=True)
+class Context:
+    """A transducer that a word of class `opens` sets to `reach`; each later word counts down. It
+    tells of each word whether the context is open there."""
+
+    opens: int
+    reach: int
+
+    def step(self, state: int, word: int) -> tuple[int, bool]:
+        if word & self.opens:
+            return self.reach, True
+        return max(0, state - 1), state > 0
+
+
+NEGATION_FST, REPORT_FST, TARGET_FST, THREAT_FST = Context(NEGATES, 3), Context(REPORTS, 12), Context(AIMS, 6), Context(MEANS, 5)
+
+
+class Composed:
+    """The composition of the four contexts with the emitting transducers, arc by arc as needed.
+
+    A state is (negation, report, target, threat, whether a target was met). An arc gives the next
+    state, where an insult on it counts (None: settled at the end) and whether an act of harm does.
+    """
+
+    START = (0, 0, 0, 0, False)
+
+    def __init__(self) -> None:
+        self.arcs: dict[tuple, tuple] = {}
+
+    def arc(self, state: tuple, word: int) -> tuple:
+        found = self.arcs.get((state, word))
+        if found is None:
+            parts = [fst.step(s, word) for fst, s in zip((NEGATION_FST, REPORT_FST, TARGET_FST, THREAT_FST), state, strict=False)]
+            negated, reported, aimed, meant = (open_ for _, open_ in parts)
+            insult = "negated" if negated else "reported" if reported else "aimed" if aimed else None
+            harm = bool(word & HARMS) and not word & INSULTS and meant and not negated and not reported
+            found = (*(s for s, _ in parts), state[4] or bool(word & AIMS)), insult, harm
+            self.arcs[state, word] = found
+        return found
+
+    def transduce(self, words: list[tuple[int, float]]) -> dict[str, float]:
+        """What is emitted over the (classes, insult weight) of a clause's words."""
+        out = dict.fromkeys(FEATURES, 0.0)
+        state, waiting, harms = self.START, 0.0, 0
+        for word, weight in words:
+            state, insult, harm = self.arc(state, word)
+            if weight:
+                if insult is None:
+                    waiting += weight
+                else:
+                    out[insult] += weight
+            harms += harm
+        # final outputs
+        out["aimed" if state[4] else "plain"] += waiting
+        if state[4]:
+            out["threat"] += HARM_WEIGHT * harms
+        return out
 
 
 @dataclass
 class Grammar:
-    """The composed transducer: insult weights, and the model over emitted weights."""
+    """The insult transducer's weights, composed with the contexts, and the model over what is emitted."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    coefficients: list[float] = field(default_factory=lambda: [-30.0, 2.0, 2.0, 1.0, 1.0, 2.0])
+    coefficients: list[float] = field(default_factory=lambda: [-30.0, 1.0, 2.0, 0.5, 0.5, 2.0])
 
     def __post_init__(self) -> None:
         self._automaton = None
+        self._composed = Composed()
 
     def insult(self, word: str) -> float:
         w = self.words.get(word, 0.0)
@@ -92,50 +164,34 @@ class Grammar:
                 yield at
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "coefficients": self.coefficients, "_automaton": None}
+        return {"words": self.words, "stems": self.stems, "coefficients": self.coefficients, "_automaton": None, "_composed": Composed()}
 
     def clause(self, words: list[str]) -> dict[str, float]:
         """What the automaton emits over one clause."""
-        out = dict.fromkeys(FEATURES, 0.0)
-        reach = dict.fromkeys(REACH, 0)
-        aimed = any(w in TARGET for w in words)
+        read = []
         for w in words:
-            if w in NEGATION:
-                reach["negated"] = REACH["negated"] + 1
-            if w in REPORTED:
-                reach["reported"] = REACH["reported"] + 1
-            if w in TARGET:
-                reach["aimed"] = REACH["aimed"] + 1
-            if w in INTENT:
-                reach["meant"] = REACH["meant"] + 1
-            if weight := self.insult(w):
-                context = "negated" if reach["negated"] else "reported" if reach["reported"] else "aimed" if reach["aimed"] or aimed else "plain"
-                out[context] += weight
-            elif w in HARM and reach["meant"] and aimed and not reach["negated"] and not reach["reported"]:
-                out["threat"] += 3.0
-            reach = {k: max(0, n - 1) for k, n in reach.items()}
-        return out
+            weight = self.insult(w)
+            read.append((CLASS.get(w, 0) | (INSULTS if weight else 0), weight))
+        return self._composed.transduce(read)
 
     def features(self, text: str) -> tuple[list[float], list[tuple[int, int]]]:
         """Sums over the matched clauses, and where these clauses are."""
         low = text.lower()
         total = [0.0] * len(FEATURES)
         clauses: list[tuple[int, int]] = []
+        places = sorted(set(self._places(low)))
+        if not places:
+            return total, clauses
+        ends = [m.start() for m in CLAUSE_END.finditer(low)]
         done = -1
-        for at in sorted(self._places(low)):
-            if at < done:
+        for at in places:
+            if at <= done:
                 continue
-            begin = at
-            while begin > max(0, at - 2000) and not CLAUSE_END.match(low, begin - 1):
-                begin -= 1
-            found = CLAUSE_END.search(low, at)
-            end = min(found.start() if found else len(low), at + 2000)
-            while end < len(low) and low[end].isalnum():
-                end += 1
-            got = self.clause(WORD.findall(low, max(begin, done, 0), end))
-            done = end
+            i = bisect_left(ends, at)
+            begin, done = ends[i - 1] + 1 if i else 0, ends[i] if i < len(ends) else len(low)
+            got = self.clause(WORD.findall(low, begin, done))
             if any(got.values()):
-                clauses.append((begin, end))
+                clauses.append((begin, done))
                 total = [t + got[k] for t, k in zip(total, FEATURES, strict=True)]
         return total, clauses
 
@@ -211,6 +267,8 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, st
         if np.abs(step).max() < 1e-6:
             break
     b[1:] = np.maximum(b[1:], 0.0)
+    plain, aimed = 1 + FEATURES.index("plain"), 1 + FEATURES.index("aimed")
+    b[aimed] = max(b[aimed], b[plain] + AIMED_MORE)
     return b
 
 
@@ -219,7 +277,8 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     said = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & train_fold("id"))
     said = said.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = rows.join(F.broadcast(said), "id")  # `sample` rows at most; texts stay on the executors
+    # `sample` rows at most, and those that repeat their ids; written, as they are read three times
+    got = Scratch(docs.sparkSession).keep(rows.join(F.broadcast(said), "id"))
 
     def banded(frames):
         for f in frames:
@@ -255,7 +314,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     n = np.asarray([r["count"] for r in seen])
     x = np.repeat(np.asarray([r["x"] for r in seen], float), n, axis=0)
     y = np.repeat(np.asarray([r["y"] for r in seen], float), n)
-    grammar.coefficients = _fit(x, y, np.asarray([-4.0, 3.0, 3.0, 1.5, 1.5, 2.5])).tolist()
+    grammar.coefficients = _fit(x, y, np.asarray([-4.0, 2.0, 3.0, 1.0, 1.0, 2.5])).tolist()
     return grammar
 
 

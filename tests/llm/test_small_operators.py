@@ -248,6 +248,17 @@ def test_toxicity_grammar_in_context():
     assert score("adolt undolted") == score("")
 
 
+def test_toxicity_walks_whole_clauses():
+    g = Grammar(words={"fool": 2.0}, stems={}, coefficients=[-4.0, 1.0, 2.0, 0.2, 0.2, 2.0])
+    far = "word " * 2000
+    assert g.features(f"a fool {far} you")[0] == [0.0, 2.0, 0.0, 0.0, 0.0]
+    assert g.features(f"you {far} fool {far} fool. fool")[0] == [2.0, 4.0, 0.0, 0.0, 0.0]
+    assert g.features("said " + "so " * 11 + "fool, not a fool")[0] == [0.0, 0.0, 2.0, 2.0, 0.0]
+    assert g.features("i will " + "x " * 3 + "hurt, they")[0][4] > 0 and g.features("i will hurt it")[0][4] == 0
+    lone, aimed = (g.score(g.features(t)[0]) for t in ("a fool", "you fool"))
+    assert lone < aimed
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d = spark.read.parquet(f"{sf}/documents.parquet")
