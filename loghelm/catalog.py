@@ -25,6 +25,7 @@ from loghelm.plans.search import SearchQuery, search_plan, searchable
 from loghelm.schema import DAY_NS, GENERATION, STREAM, field
 from loghelm.sources.envelope import TimeContext
 from loghelm.sources.mail_lines import parse_lines
+from loghelm.store.retention import covered, purgeable
 from loghelm.views import event_columns, event_facts, event_sessions
 
 JANUARY = (1704067200 * 10**9, 1706745600 * 10**9)
@@ -86,7 +87,7 @@ def queue_links(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     bindings = [(f"mx-{i}", "peer[192.0.2.1]:25", f"mx-{i}") for i in range(3)]
     out = links(facts, assigned(facts), DAY_NS, bindings)
-    return out.select("start_offset", "instance", "queue_id", "target_queue_id", F.coalesce("reason", "state").alias("result"))
+    return out.select("start_offset", "instance", "queue_id", "target_queue_id", F.coalesce("reason", "state").alias("result"), F.col("target_generation.cycle").alias("target_cycle"), F.col("non_explicit_time"))
 
 
 def prequeue_reports(spark, sf_dir):
@@ -146,12 +147,32 @@ def scope_semi_join(spark, sf_dir):
     return facts_in_scope(_facts(spark, sf_dir), parts, [], None).select("start_offset", "instance", "queue_id")
 
 
-def retention_anti(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
-    cover = facts.groupBy("source_id", "origin_id").agg(F.floor(F.max("end_offset") * 3 / 4).alias("off"))
-    running = spark.createDataFrame([("src-2",)], "source_id string")
-    old = facts.where(usable_time() < 1705276800 * 10**9).join(cover, ["source_id", "origin_id"]).where("end_offset <= off")
-    return old.join(F.broadcast(running), "source_id", "left_anti").select("start_offset")
+def _retention(spark, sf_dir):
+    """Facts, checkpoints, origins and imports as the store would hold them: src-0 was retired,
+    src-1 is followed still, src-2 was imported, and one import of it runs."""
+    facts = _facts(spark, sf_dir).withColumn("search_ns", usable_time())
+    by = facts.groupBy("source_id", "origin_id").agg(F.floor(F.max("end_offset") * 3 / 4).alias("offset"))
+    file = F.col("source_id") != "src-2"
+    marks = by.withColumn("anchor", F.when((F.col("source_id") == "src-1") & (F.col("origin_id") == "org-1"), F.lit("")).otherwise(F.lit("a")))
+    origins = by.where(file).select("source_id", "origin_id", F.when(F.col("source_id") == "src-0", F.lit("retired")).otherwise(F.lit("following")).alias("state"))
+    size = F.col("offset").alias("content_bytes")
+    runs = by.where(~file).select("source_id", "origin_id", F.lit("complete").alias("status"), F.col("offset").alias("end_offset"), size)
+    late = by.where(~file & (F.col("origin_id") == "org-1")).select("source_id", "origin_id", F.lit("running").alias("status"), F.lit(0).cast("long").alias("end_offset"), size)
+    return facts, marks, origins, runs.unionByName(late)
+
+
+BEFORE = 1705276800 * 10**9
+
+
+def retention_preview(spark, sf_dir):
+    facts, marks, _, _ = _retention(spark, sf_dir)
+    parts = [covered(facts, marks, f"mx-{i}", BEFORE) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("start_offset", "instance")
+
+
+def retention_purge(spark, sf_dir):
+    parts = [purgeable(*_retention(spark, sf_dir), f"mx-{i}", BEFORE) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("start_offset", "instance")
 
 
 def replay_guard(spark, sf_dir):

@@ -117,7 +117,6 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
     )
     out = out.withColumn("reason", reason)
     linked = F.col("reason").isNull()
-    chosen = F.when(linked | ((F.col("reason") == "evidence_insufficient") & (F.col("n_plausible") == 1)), F.col("target_gid"))
     # what a link rests on: the hint, one proof for each agreed value, and the target's delivery
     all_proofs = F.concat(F.array("hint_id"), "s_proofs", "target.t_proofs", F.array_compact(F.array("delivery_proof")))
     evidence = F.when(linked, F.array_sort(F.array_distinct(all_proofs))).otherwise(F.array("hint_id"))
@@ -131,8 +130,9 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
         F.when(linked, F.lit("corroborated")).otherwise(F.lit("candidate")).alias("state"),
         "reason",
         F.when(F.col("reason").isNull() | (F.col("reason") != "source_unresolved"), F.col("source_gid")).alias("source_generation"),
-        chosen.alias("target_generation"),
-        (flag("s_non_explicit") | F.coalesce(F.col("target.t_non_explicit"), F.lit(False))).alias("non_explicit_time"),
+        # a target, and what it adds, only where the link holds
+        F.when(linked, F.col("target_gid")).alias("target_generation"),
+        (flag("s_non_explicit") | (linked & F.coalesce(F.col("target.t_non_explicit"), F.lit(False)))).alias("non_explicit_time"),
         evidence.alias("evidence"),
     )
 

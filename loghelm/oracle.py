@@ -21,8 +21,8 @@ def facts(t: str = "us * 1000") -> str:
     event_type = 'error' AS removed,
     event_type IN ('signup', 'view') AS receipt,
     event_type AS et,
-    CASE WHEN event_type = 'signup' THEN 'm' || CAST(u AS VARCHAR) || '-' || CASE WHEN event_id % 50 = 0 THEN CAST(event_id AS VARCHAR) ELSE '0' END || '@example.org' END AS mid,
-    CASE WHEN event_type = 'view' THEN 'u' || CAST(u AS VARCHAR) || '@example.org' END AS sender,
+    CASE WHEN event_type = 'signup' THEN 'm' || CAST(CASE WHEN u % 30 < 15 THEN u % 3 ELSE u END AS VARCHAR) || '-' || CASE WHEN event_id % 50 = 0 THEN CAST(event_id AS VARCHAR) ELSE '0' END || '@example.org' END AS mid,
+    CASE WHEN event_type = 'view' THEN 'u' || CAST(CASE WHEN u % 30 < 15 THEN u % 3 ELSE u END AS VARCHAR) || '@example.org' END AS sender,
     event_type IN ('click', 'purchase') AS delivery,
     event_type = 'click' AND event_id % 5 = 0 AS is_hint,
     CASE WHEN event_type IN ('click', 'purchase') THEN CASE WHEN k % 23 = 0 THEN '' ELSE 'r' || CAST(k % 7 AS VARCHAR) || '@example.net' END END AS address,
@@ -84,6 +84,7 @@ SUMMARY = f""", c AS (
   FROM g LEFT JOIN c USING ({_KEY})
 )"""
 
+MARKS = "c AS (SELECT source_id, origin_id, max(end_offset) * 3 // 4 AS off FROM f GROUP BY ALL)"
 LINKS = f""", doubt AS (SELECT DISTINCT instance, queue_id FROM a WHERE reason <> 'resolved'),
 claim AS (
   SELECT {_KEY}, CASE WHEN count(DISTINCT sender) = 1 THEN min(sender) END AS sender, CASE WHEN count(DISTINCT mid) = 1 THEN min(mid) END AS mid, count(DISTINCT mid) > 1 AS mids
@@ -91,7 +92,7 @@ claim AS (
 ), gc AS (SELECT *, row_number() OVER (ORDER BY {_KEY}) AS gid FROM g JOIN claim USING ({_KEY})),
 h AS (SELECT event_id, start_offset, instance, queue_id, source_id, origin_id, cycle, reason AS r0, cross_stream, t, target, address FROM a WHERE is_hint),
 b AS (
-  SELECT h.*, CASE WHEN h.r0 = 'resolved' THEN s.gid END AS sgid, s.first_t AS s_first, s.receipt_observed AS s_rec, s.sender AS s_sender, s.mid AS s_mid, s.mids AS s_mids,
+  SELECT h.*, CASE WHEN h.r0 = 'resolved' THEN s.gid END AS sgid, s.first_t AS s_first, s.receipt_observed AS s_rec, s.sender AS s_sender, s.mid AS s_mid, s.mids AS s_mids, s.non_explicit_time AS s_ne,
     EXISTS (SELECT 1 FROM doubt WHERE doubt.instance = h.instance AND doubt.queue_id = h.queue_id) AS s_doubt, 'mx-' || right(h.instance, 1) AS to_instance
   FROM h LEFT JOIN gc s ON h.r0 = 'resolved' AND s.instance = h.instance AND s.queue_id = h.queue_id AND s.source_id = h.source_id AND s.origin_id = h.origin_id AND s.cycle = h.cycle
 ), m AS (
@@ -104,15 +105,17 @@ j AS (
     EXISTS (SELECT 1 FROM doubt WHERE doubt.instance = b.to_instance AND doubt.queue_id = b.target) AS t_doubt
   FROM b LEFT JOIN m ON m.event_id = b.event_id
 ), k AS (
-  SELECT j.*, x.sender AS t_sender, x.mid AS t_mid, x.mids AS t_mids, known.gid IS NOT NULL AS told
+  SELECT j.*, x.sender AS t_sender, x.mid AS t_mid, x.mids AS t_mids, x.cycle AS t_cycle, x.non_explicit_time AS t_ne, known.gid IS NOT NULL AS told
   FROM j LEFT JOIN gc x ON x.gid = j.tgid LEFT JOIN known ON known.gid = j.tgid AND known.address = j.address
-)
-SELECT start_offset, instance, queue_id, target AS target_queue_id, CASE
+), w AS (
+SELECT start_offset, instance, queue_id, target AS target_queue_id, s_ne, t_ne, t_cycle, CASE
   WHEN sgid IS NULL THEN 'source_unresolved' WHEN cross_stream OR s_doubt THEN 'source_ambiguous'
   WHEN to_instance = instance AND target = queue_id THEN 'self_reference' WHEN t_doubt THEN 'target_ambiguous' WHEN n_target = 0 THEN 'target_absent'
   WHEN n_ok = 0 THEN 'evidence_insufficient' WHEN n_ok > 1 OR t_cross THEN 'target_ambiguous'
   WHEN coalesce(s_sender = t_sender AND NOT s_mids AND NOT t_mids AND s_mid <> '' AND s_mid = t_mid AND told, FALSE) THEN 'corroborated' ELSE 'evidence_insufficient' END AS result
-FROM k"""
+FROM k
+)
+SELECT start_offset, instance, queue_id, target_queue_id, result, CASE WHEN result = 'corroborated' THEN t_cycle END AS target_cycle, coalesce(s_ne, FALSE) OR (result = 'corroborated' AND coalesce(t_ne, FALSE)) AS non_explicit_time FROM w"""
 
 SESSIONS = f"""WITH {EVENTS}, f AS (
   SELECT event_id * 128 AS start_offset, 'src-' || CAST(u % 3 AS VARCHAR) AS source_id, 'org-' || CAST(CASE WHEN u % 10 = 0 THEN event_id % 2 ELSE 0 END AS VARCHAR) AS origin_id,
@@ -174,7 +177,8 @@ ORACLE = {
     "origin_overlap": f"WITH {facts()}, o AS (SELECT *, end_offset + CASE WHEN event_id % 89 = 0 THEN 50000 ELSE 0 END AS e2 FROM f) SELECT start_offset, 'overlap' AS fault FROM (SELECT *, lag(e2) OVER (PARTITION BY source_id, origin_id ORDER BY start_offset) AS pe FROM o) WHERE pe > start_offset",
     "origin_extremities": f"WITH {facts()} SELECT source_id, origin_id, min(start_offset) AS first_start, max(end_offset) AS last_end FROM f GROUP BY ALL",
     "scope_semi_join": f"WITH {facts()} SELECT start_offset, instance, queue_id FROM f WHERE (instance = 'mx-1' AND queue_id IN ('A000102', 'A000110', 'A003105')) OR (instance = 'mx-2' AND queue_id = 'A000203')",
-    "retention_anti": f"WITH {facts()}, c AS (SELECT source_id, origin_id, max(end_offset) * 3 // 4 AS off FROM f GROUP BY ALL) SELECT start_offset FROM f JOIN c USING (source_id, origin_id) WHERE t < 1705276800000000000 AND end_offset <= off AND source_id <> 'src-2'",
+    "retention_preview": f"WITH {facts()}, {MARKS} SELECT start_offset, instance FROM f JOIN c USING (source_id, origin_id) WHERE t < 1705276800000000000 AND end_offset <= off AND NOT (source_id = 'src-1' AND origin_id = 'org-1')",
+    "retention_purge": f"WITH {facts()}, {MARKS} SELECT start_offset, instance FROM f JOIN c USING (source_id, origin_id) WHERE t < 1705276800000000000 AND end_offset <= off AND (source_id = 'src-0' OR (source_id = 'src-2' AND origin_id = 'org-0'))",
     "replay_guard": f"WITH {facts()} SELECT start_offset, CASE WHEN event_id % 10 = 3 THEN CASE WHEN event_id % 70 = 3 THEN 'collision' ELSE 'skipped' END ELSE 'new' END AS outcome FROM f",
     "revision_digest": f"WITH {facts()} SELECT start_offset, sha256({' || '.join(_frame(x) for x in ('source_id', 'origin_id', 'CAST(start_offset AS VARCHAR)', 'CAST(end_offset AS VARCHAR)', 'queue_id'))}) AS digest FROM f",
     "syslog_roundtrip": f"WITH {EVENTS} SELECT event_id, (us // 1000000) * 1000000000 AS time_utc_ns, 'mx-' || CAST(u % 3 AS VARCHAR) AS host, CASE event_type WHEN 'signup' THEN 'cleanup' WHEN 'click' THEN 'smtp' WHEN 'purchase' THEN 'local' ELSE 'qmgr' END AS service, CAST(u AS VARCHAR) AS pid, CASE WHEN event_id % 101 = 0 THEN 'invalid_syslog_envelope' ELSE '' END AS parse_error FROM e WHERE event_id % 101 <> 0 UNION ALL SELECT event_id, NULL, '', '', '', 'invalid_syslog_envelope' FROM events WHERE event_id % 101 = 0",

@@ -14,6 +14,7 @@ from loghelm.plans.search import searchable
 from loghelm.plans.scope import check_scope, facts_in_scope
 from loghelm.schema import FACT, REF, RETENTION_BATCH, RefusedError
 from loghelm.sources.follow import stored_change
+from loghelm.store.retention import covered, purgeable
 from loghelm.store.snapshots import Snapshots, Version
 
 FACTS = FACT + ", event_id long, search_ns long, sender string, recipient string, message_id string, status string, sender_domain string, recipient_domain string"
@@ -162,7 +163,9 @@ class FactStore:
             status, error = "complete", ""
         ids = facts.agg(F.min("source_id").alias("s"), F.min("origin_id").alias("o"), F.count(F.lit(1)).alias("n"), F.max("end_offset").alias("e")).first()
         row = self.spark.createDataFrame([(run_id, ids["s"], ids["o"], top["sha256"], top["content_bytes"], ids["n"], ids["e"] or 0, status, error)], IMPORTS)
-        return self.commit(facts, imports=row)
+        # the end of the content is the checkpoint; its anchor is the content's digest
+        mark = self.spark.createDataFrame([(ids["s"], ids["o"], ids["e"], top["sha256"])], CHECKPOINTS) if ids["n"] else None
+        return self.commit(facts, checkpoints=mark, imports=row)
 
     # projections
 
@@ -196,37 +199,45 @@ class FactStore:
 
     # retention
 
-    def eligible(self, before_ns: int, at: Version | None = None) -> DataFrame:
-        """Dated facts before an instant that a checkpoint covers, of retired origins or complete
-        imports, and of no import still running."""
-        at = at or self.snapshots.current()
-        facts = self.facts(at).where(F.col("search_ns") < before_ns)
-        cover = self.checkpoints(at).where(F.col("anchor") != "")
-        runs = self.snapshots.read("imports", IMPORTS, at)
-        covered = facts.join(cover, ["source_id", "origin_id"]).where(F.col("end_offset") <= F.col("offset")).select(*facts.columns)
-        done = facts.join(runs.where("status = 'complete'").select("source_id", "origin_id"), ["source_id", "origin_id"], "left_semi")
-        return covered.unionByName(done).dropDuplicates(list(REF)).join(runs.where("status = 'running'").select("source_id", "origin_id"), ["source_id", "origin_id"], "left_anti")
-
-    def preview_retention(self, before_ns: int, limit: int = RETENTION_BATCH) -> tuple[DataFrame, bool]:
-        if not 1 <= limit <= RETENTION_BATCH:
-            raise RefusedError("invalid_limit")
-        rows = self.eligible(before_ns).select(*REF, "search_ns", "event_id").orderBy("search_ns", "event_id").limit(limit + 1).collect()
+    def preview_retention(self, instance: str, before_ns: int, limit: int = RETENTION_BATCH) -> tuple[DataFrame, bool]:
+        """Covered facts, oldest first; they need not be purgeable."""
+        _check_retention(instance, limit)
+        at = self.snapshots.current()
+        rows = covered(self.facts(at), self.checkpoints(at), instance, before_ns)
+        rows = rows.select(*REF, "search_ns", "event_id").orderBy("search_ns", "event_id").limit(limit + 1).collect()
         shape = ", ".join(f"{c} {'string' if c.endswith('_id') and c != 'event_id' else 'long'}" for c in (*REF, "search_ns", "event_id"))
         return self.spark.createDataFrame(rows[:limit], shape), len(rows) > limit
 
-    def purge_retention(self, before_ns: int, limit: int | None = RETENTION_BATCH) -> PurgeResult:
-        """Eligible facts are chosen again, their digests kept, the revisions of projections
-        cleared, and the facts left out of the next version. limit None purges all, in bulk."""
-        base = self.snapshots.current()
-        chosen = self.eligible(before_ns, base)
+    def purge_retention(self, instance: str, before_ns: int, limit: int | None = RETENTION_BATCH) -> PurgeResult:
+        """Purgeable facts are chosen again, their digests kept, the revisions of projections
+        cleared, and the facts left out of the next version, of which only folders that hold such
+        facts are written anew. limit None purges all, in bulk."""
         if limit is not None:
-            chosen = chosen.orderBy("search_ns", "event_id").limit(limit)
-        gone = self.snapshots.stage("purged", chosen.select(*REF, purge_digest().alias("digest")))
-        dead = self.spark.read.schema(PURGED).parquet(f"{self.snapshots.root}/{gone}")
+            _check_retention(instance, limit)
+        base = self.snapshots.current()
+        folders = base.tables.get("facts", [])
+        if not folders:
+            return PurgeResult(0, False, 0)
+        facts = self.facts(base).withColumn("file_path", F.col("_metadata.file_path"))
+        every = purgeable(facts, self.checkpoints(base), self.snapshots.read("origins", ORIGINS, base), self.snapshots.read("imports", IMPORTS, base), instance, before_ns)
+        chosen = every if limit is None else every.orderBy("search_ns", "event_id").limit(limit)
+        gone = self.snapshots.stage("purged", chosen.select(*REF, purge_digest().alias("digest"), F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1).alias("folder")))
+        dead = self.spark.read.schema(PURGED + ", folder string").parquet(f"{self.snapshots.root}/{gone}")
         n = dead.count()
         if not n:
             return PurgeResult(0, False, 0)
-        kept = self.snapshots.stage("facts", self.facts(base).join(dead, list(REF[:3]), "left_anti"), ("instance", "search_ns"))
+        held = {r["folder"] for r in dead.select("folder").distinct().collect()}  # folders of one version
+        touched = [f for f in folders if f.rsplit("/", 1)[-1] in held]
+        rest = self.spark.read.schema(FACTS).parquet(*[f"{self.snapshots.root}/{f}" for f in touched])
+        kept = self.snapshots.stage("facts", rest.join(dead, list(REF[:3]), "left_anti"), ("instance", "search_ns"))
         manifests = {k: {**m, "revision": None} for k, m in base.notes.get("projections", {}).items()}
-        self.snapshots.publish(base, {"facts": [kept], "purged": [*base.tables.get("purged", []), gone]}, {"projections": manifests, "purged_at": int(time.time())})
-        return PurgeResult(n, limit is not None and not self.eligible(before_ns).isEmpty(), len(manifests))
+        self.snapshots.publish(base, {"facts": [*[f for f in folders if f not in touched], kept], "purged": [*base.tables.get("purged", []), gone]}, {"projections": manifests, "purged_at": int(time.time())})
+        more = limit is not None and not every.join(dead, list(REF[:3]), "left_anti").isEmpty()
+        return PurgeResult(n, more, len(manifests))
+
+
+def _check_retention(instance: str, limit: int) -> None:
+    if not instance or len(instance) > 1024 or any(c in instance for c in "\0\r\n\t"):
+        raise RefusedError("invalid_instance")
+    if not 1 <= limit <= RETENTION_BATCH:
+        raise RefusedError("invalid_limit")

@@ -26,8 +26,10 @@ def event_facts(events: DataFrame, hour_ties: bool = False) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     is_hint = (kind == "click") & (F.col("event_id") % 5 == 0)
     t = F.col("us") - F.pmod("us", F.lit(3_600_000_000)) if hour_ties else F.col("us")
-    sender = F.concat(F.lit("u"), s("u"), F.lit("@example.org"))
-    mid = F.concat(F.lit("m"), s("u"), F.lit("-"), F.when(F.col("event_id") % 50 == 0, s("event_id")).otherwise(F.lit("0")), F.lit("@example.org"))
+    # half of the users share senders and message ids by threes, so that links can hold
+    who = F.when(F.col("u") % 30 < 15, F.col("u") % 3).otherwise(F.col("u")).cast("string")
+    sender = F.concat(F.lit("u"), who, F.lit("@example.org"))
+    mid = F.concat(F.lit("m"), who, F.lit("-"), F.when(F.col("event_id") % 50 == 0, s("event_id")).otherwise(F.lit("0")), F.lit("@example.org"))
     rcpt = F.when(F.col("k") % 23 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), (F.col("k") % 7).cast("string"), F.lit("@example.net")))
     target = queue_of((F.col("u") + 3) % 150, F.col("day"))
     status = F.when((kind == "purchase") | is_hint, F.lit("sent")).otherwise(F.lit("deferred"))

@@ -10,7 +10,7 @@ from loghelm.sources.envelope import TimeContext
 from loghelm.sources.finite import Caps, imported, inspect
 from loghelm.sources.follow import Follower, register, select_origin, verify
 from loghelm.sources.mail_lines import parse_lines
-from loghelm.store.facts_store import CHECKPOINTS, FactStore
+from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
 from loghelm.streaming.ingest import ingest, read_log
 from tests.helpers import CTX, INBOUND, facts
 
@@ -37,13 +37,26 @@ def test_commit_twice_collide_and_purge(spark, tmp_path):
     store.commit(df, checkpoints=spark.createDataFrame([("src", "org", end, "a")], CHECKPOINTS))
     assert store.checkpoint("src", "org") == (end, "a") and store.checkpoint("src", "none") is None
     later = parse_utc("2026-10-01T10:00:03Z")
-    preview, more = store.preview_retention(later, 2)
+    preview, more = store.preview_retention("mx-a", later, 2)
     assert preview.count() == 2 and more
-    got = store.purge_retention(later)
-    assert (got.purged, got.more, got.invalidated) == (3, False, 1) and store.facts().count() == 4
+    file = ("src", "org", "/var/log/mail.log", 1, 2, "00")
+    store.commit(df, origins=spark.createDataFrame([(*file, "following")], ORIGINS))
+    assert store.purge_retention("mx-a", later).purged == 0  # the file is followed still
+    store.commit(df, origins=spark.createDataFrame([(*file, "retired")], ORIGINS))
+    assert store.purge_retention("mx-b", later).purged == 0
+    refused("invalid_instance", store.purge_retention, "", later)
+    before = store.snapshots.current().tables["facts"]
+    other_file = facts(spark, INBOUND, origin="other", instance="mx-c")
+    store.commit(other_file)
+    got = store.purge_retention("mx-a", later)
+    assert set(store.snapshots.current().tables["facts"]) & set(before) == set()
+    assert len(store.snapshots.current().tables["facts"]) == 2
+    store_rows = store.facts().where("instance = 'mx-c'").count()
+    assert store_rows == 7
+    assert (got.purged, got.more, got.invalidated) == (3, False, 1) and store.facts().where("instance = 'mx-a'").count() == 4
     refused("stale", store.current_projection, "p")
     store.commit(df)  # purged records are recognised and skipped
-    assert store.facts().count() == 4
+    assert store.facts().where("instance = 'mx-a'").count() == 4
     refused("collision", store.commit, other)
     assert store.snapshots.metadata()["tables"]["facts"]["files"] > 0
 
@@ -69,6 +82,7 @@ def test_finite_imports(spark, tmp_path):
         store = FactStore(spark, str(tmp_path / f"store{gz}"))
         store.import_records("run", head, lines)
         assert store.import_run("run").status == "complete" and store.facts().count() == 7
+        assert store.purge_retention("mx-a", 2**62, None).purged == 7 and store.facts().count() == 0
     assert rows[False] == rows[True]
     bomb = tmp_path / "b.gz"
     bomb.write_bytes(gzip.compress(b"0" * 10**6))
