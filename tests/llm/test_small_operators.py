@@ -13,12 +13,12 @@ import corpus_pipeline
 from loghelm.llm import queries as q
 from loghelm.llm.bitslice_topk import BitSlicedBlock, bitsliced_topk, exact_scores, whole
 from loghelm.llm.language_id import identify_language, learn_languages
-from loghelm.llm.ngram_join import NgramJoin, one_of_each, with_classes
+from loghelm.llm.ngram_join import NgramJoin, joining_links, one_of_each, shingle_runs, with_classes
 from loghelm.llm.packing import WordTokenizer, best_two_fit, pack_documents
 from loghelm.llm.permutation_ann import InvertedFiles, permutation_ann
 from loghelm.llm.quality import LABELLERS, coded, fit_labels, quality_scores, votes
 from loghelm.llm.secret_scan import redact_secrets, secret_scan
-from loghelm.llm.source_mix import mix_sources, period, schedule, whole_parts, whole_weights
+from loghelm.llm.source_mix import in_mixed_order, mix_sources, period, schedule, whole_parts, whole_weights
 from loghelm.llm.toxicity import Grammar, learn_grammar, toxicity_scores, without_toxic
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, rank string"
@@ -417,3 +417,85 @@ def test_inverted_files_give_the_footrule():
     place = lambda o, p: o.tolist().index(p) if p in o else 5
     want = [sum(abs(place(o, p) - place(own, p)) for p in range(12)) for o in order]
     assert InvertedFiles(order, 12).footrule(own).tolist() == want
+
+
+def test_words_with_one_hash_stay_apart(monkeypatch):
+    tok = WordTokenizer(q.tokenizer_path())
+    turn = lambda b: bytes(x ^ 3 for x in b)  # noqa: E731  a <-> b
+    morse = b"a"
+    while len(morse) < 1024:
+        morse += turn(morse)
+    texts = [f"{morse.decode()} and then more plain words to pass", f"{turn(morse).decode()} and then more plain words to pass"] * 2
+    want = [tok.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tok.encode(texts)] == want
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in texts[:2])
+    assert shingle_runs([texts[0]], 4).__next__()[0] != shingle_runs([texts[1]], 4).__next__()[0] and len(a) == len(b)
+    from loghelm.llm import bytehash
+
+    monkeypatch.setattr(bytehash, "word_hashes", lambda data, begin, stop: (stop - begin).astype(np.uint64))
+    weak = WordTokenizer(q.tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in weak.encode(texts)] == want
+
+
+def test_blocks_of_a_group_give_joining_links():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 2**63, 150).astype(np.uint64))
+    sets = []
+    for i in range(60):
+        own = base.copy()
+        own[rng.choice(150, i % 20, replace=False)] = rng.integers(0, 2**63, i % 20).astype(np.uint64)
+        sets.append(np.unique(own))
+    member = lambda i: {"cls": i, "comp": i, "set": sets[i].tobytes()}
+    links = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+
+    def parts(edges):
+        root = list(range(60))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    want = parts([(a, b) for a in range(60) for b in range(a) if links(a, b)])
+    whole_ = joining_links([member(i) for i in range(60)], None, 85, 100)
+    assert parts(whole_) == want and len(whole_) == 60 - len(set(want))
+    left, right = [member(i) for i in range(30)], [member(i) for i in range(30, 60)]
+    split = joining_links(left, None, 85, 100) + joining_links(right, None, 85, 100) + joining_links(left, right, 85, 100)
+    assert parts(split) == want and all(links(a, b) for a, b in split)
+
+
+def test_long_lists_and_clashing_columns(spark, monkeypatch):
+    from loghelm.llm import ngram_join as nj
+
+    monkeypatch.setattr(nj, "SHORT", 3)
+    monkeypatch.setattr(nj, "BLOCK_SETS", 4)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.sample(words, 60)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in rng.sample(range(60), i % 8):
+            w[j] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(7, "quite another text than the one with this id before"), (7, "quite another text than the one with this id before")]
+    names = "doc_id long, text string, row string, same string, copies string, cls string, mix_block string, mix_row string, secret_row string, source string, told string"
+    df = spark.createDataFrame([(i, t, "r", "s", "c", "k", "m", "n", "x", f"s{i % 3}", "t") for i, t in rows], names)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in with_classes(df, 4, 85, 100).collect())
+    plain = brute_join(rows, 4, 85, 100)
+    assert got == sorted(plain)
+    left = one_of_each(df, 4, 85, 100).collect()
+    heads = {(c, t) for (d, n, c), (_, t) in zip(brute_join_rows(rows, 4, 85, 100), rows) if d == c}
+    assert sorted((r.doc_id, r.text) for r in left) == sorted(heads) and set(left[0].asDict()) == set(df.columns)
+    assert in_mixed_order(df).columns == df.columns and in_mixed_order(df).count() == len(rows)
+    assert redact_secrets(df).columns == df.columns and redact_secrets(df).count() == len(rows)
+    assert without_toxic(df, Grammar()).columns == df.columns
+
+
+def brute_join_rows(rows, width, num, den):
+    """brute_join row by row, in the order of rows."""
+    marked = brute_join([(i, t) for i, (_, t) in enumerate(rows)], width, num, den)
+    least = {}
+    for i, _, c in marked:
+        least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return [(rows[i][0], n, least[c]) for i, n, c in sorted(marked)]
