@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loghelm.functions.facts import queue_hint, usable_time
-from loghelm.operators.generations import generations
+from loghelm.functions.facts import is_queued, queue_hint, usable_time
 from loghelm.operators.partition import message_id
 from loghelm.operators.recipients import attempts
-from loghelm.schema import GENERATION, MAX_BINDINGS, MAX_LINK_WINDOW_NS, REF, RefusedError, field
+from loghelm.schema import GENERATION, MAX_BINDINGS, MAX_LINK_WINDOW_NS, QUEUE, REF, RefusedError, field
 
 KNOWN = ("sent", "delivered", "deferred", "bounced")
 
 
-def hints(facts: DataFrame) -> DataFrame:
-    """One row per explicit native report of another queue id."""
+def hints(facts: DataFrame, *more: str) -> DataFrame:
+    """One row per explicit native report of another queue id, with the columns `more` of its fact."""
     # inline keeps the wide expression in one place: no filter or projection is merged into it
     found = F.filter(F.array(queue_hint()), lambda h: h.isNotNull())
     rows = facts.where(F.col("kind").isin("bounce", "delivery"))
-    out = rows.select(*REF, "instance", "queue_id", usable_time().alias("t"), field("to").alias("recipient"), F.inline(found))
+    out = rows.select(*REF, "instance", "queue_id", usable_time().alias("t"), field("to").alias("recipient"), *more, F.inline(found))
     return out.withColumnRenamed("kind", "hint_kind")
 
 
@@ -33,7 +32,8 @@ def check_options(window_ns: int, bindings: Sequence[tuple[str, str, str]]) -> N
 
 
 def _claims(rows: DataFrame) -> DataFrame:
-    """Per generation: its sender and message id where observed values agree, else NULL."""
+    """Per generation: its extremes and flags, and its sender and message id where observed values
+    agree, else NULL; one aggregation."""
     sender = F.when((F.col("service") == "qmgr") & (F.col("kind") == "message"), field("from"))
     r = rows.where(F.col("reason") == "resolved").withColumns({"sender": sender, "mid": message_id()})
 
@@ -41,6 +41,10 @@ def _claims(rows: DataFrame) -> DataFrame:
         return F.when(F.min(c) == F.max(c), F.min(c))
 
     return r.groupBy(*GENERATION).agg(
+        F.min("t").alias("first_t"),
+        F.max("receipt").alias("receipt_observed"),
+        F.max(F.col("time_quality") != "explicit_offset").alias("non_explicit_time"),
+        F.first("cross_stream").alias("cross_stream_uncertain"),
         agreed("sender").alias("sender"),
         agreed("mid").alias("message_id"),
         F.coalesce(F.min("mid") != F.max("mid"), F.lit(False)).alias("message_ids_differ"),
@@ -57,18 +61,16 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
     """
     check_options(window_ns, bindings)
     spark = facts.sparkSession
-    gens = generations(rows).drop("facts")
     key = F.struct(*GENERATION)
-    claims = _claims(rows)
-    gens = gens.join(claims, list(GENERATION)).withColumn("gid", key)
-    status = rows.select(*REF, *[F.col(c).alias(f"s_{c}") for c in GENERATION[:2]], F.col("cycle").alias("s_cycle"), "reason", "cross_stream")
-    doubtful = rows.where(F.col("reason") != "resolved").select("instance", "queue_id").distinct()
-    h = hints(facts).withColumn("hint_id", F.struct(*REF))
-
-    # source side
-    src = h.join(status.select(*REF, "s_cycle", "reason", "cross_stream"), list(REF), "left")
-    src_doubt = doubtful.withColumn("source_doubt", F.lit(True))
-    src = src.join(src_doubt, ["instance", "queue_id"], "left")
+    gens = _claims(rows).withColumn("gid", key)
+    refused = F.col("reason") != "resolved"
+    doubtful = rows.where(refused).select("instance", "queue_id").distinct()
+
+    # source side: hints are taken from the assigned facts, which know their generation already
+    told = rows.withColumns({"source_doubt": F.max(refused).over(Window.partitionBy(*QUEUE)), "s_cycle": F.col("cycle")})
+    src = hints(told, "s_cycle", "reason", "cross_stream", "source_doubt")
+    free = hints(facts.where(~is_queued()))
+    src = src.unionByName(free, allowMissingColumns=True).withColumn("hint_id", F.struct(*REF))
     bind = spark.createDataFrame([tuple(b) for b in bindings], "instance string, relay string, bound string")
     src = src.join(F.broadcast(bind), ["instance", "relay"], "left")
     src = src.withColumn("to_instance", F.coalesce("target_instance", F.when(F.col("hint_kind") == "smtp_queue_hint", F.col("bound"))))
