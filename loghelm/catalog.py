@@ -20,11 +20,14 @@ from loghelm.operators.recipients import recipients
 from loghelm.operators.summaries import STATUSES, summaries
 from loghelm.oracle import ORACLE
 from loghelm.plans.cursors import SearchCursor
+from loghelm.plans.detail import positioned
 from loghelm.plans.scope import facts_in_scope
 from loghelm.plans.search import SearchQuery, search_plan, searchable
 from loghelm.schema import DAY_NS, GENERATION, STREAM, field
 from loghelm.sources.envelope import TimeContext
 from loghelm.sources.mail_lines import parse_lines
+from loghelm.store.imports import gaps, runs_with_marks, with_marks
+from loghelm.store.replay import outcomes, purge_digest
 from loghelm.store.retention import covered, purgeable
 from loghelm.views import event_columns, event_facts, event_sessions
 
@@ -176,11 +179,11 @@ def retention_purge(spark, sf_dir):
 
 
 def replay_guard(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
-    digest = F.sha2(framed(F.col("queue_id"), F.col("kind")), 256)
-    gone = facts.where(F.col("event_id") % 10 == 3).select("start_offset", F.when(F.col("event_id") % 70 == 3, F.lit("other")).otherwise(digest).alias("old"))
-    met = facts.join(gone, "start_offset", "left")
-    return met.select("start_offset", F.when(F.col("old").isNull(), "new").when(F.col("old") == digest, "skipped").otherwise("collision").alias("outcome"))
+    facts = _facts(spark, sf_dir).withColumn("raw", F.concat("queue_id", "kind").cast("binary"))
+    n = F.col("event_id")
+    stored = facts.where(n % 10 == 5).withColumn("raw", F.when(n % 70 == 5, F.lit("other").cast("binary")).otherwise(F.col("raw")))
+    purged = facts.where(n % 10 == 3).withColumn("digest", F.when(n % 70 == 3, F.lit("other")).otherwise(purge_digest()))
+    return outcomes(facts, stored, purged).select("start_offset", "outcome")
 
 
 def revision_digest(spark, sf_dir):
@@ -216,11 +219,8 @@ def postfix_fields(spark, sf_dir):
 
 
 def timeline_page(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = assigned(_facts(spark, sf_dir)).where("reason = 'resolved'")
-    n = F.row_number().over(Window.partitionBy(*GENERATION).orderBy("place")) - 1
-    return rows.withColumn("position", n).where(F.col("position").between(2, 4)).select("start_offset", "position")
+    rows = positioned(assigned(_facts(spark, sf_dir)).where("reason = 'resolved'"))
+    return rows.where(F.col("position").between(2, 4)).select("start_offset", "position")
 
 
 def address_domains(spark, sf_dir):
@@ -234,16 +234,17 @@ def queue_id_grammar(spark, sf_dir):
 
 
 def left_join_checkpoints(spark, sf_dir):
-    last = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"))
-    return _t(spark, sf_dir, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "last_order")
+    _, marks, origins, _ = _retention(spark, sf_dir)
+    return with_marks(origins, marks.where("origin_id = 'org-0'")).select("source_id", "origin_id", "state", "offset")
 
 
-def contiguity_check(spark, sf_dir):
-    from pyspark.sql import Window
+def import_runs(spark, sf_dir):
+    _, marks, _, runs = _retention(spark, sf_dir)
+    return runs_with_marks(runs, marks).select("source_id", "origin_id", "status", "end_offset", "offset", "fault")
+
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_linenumber", 1, 0).over(w).alias("before"))
-    return rows.where(F.col("l_linenumber") != F.col("before") + 1).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_gaps"))
+def contiguity_check(spark, sf_dir):
+    return gaps(_facts(spark, sf_dir)).select("source_id", "origin_id", "start_offset", "expected")
 
 
 def import_origin_ids(spark, sf_dir):

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from loghelm.functions.scalars import framed
 from loghelm.schema import QUEUE, REF
 
-DIGEST_VERSION = "loghelm-revision-1"
+DIGEST_VERSION = "loghelm-revision-2"
+#: bytes of an origin, and origins, whose digests meet in one step
+RANGE_BYTES = 1 << 22
+ORIGIN_GROUPS = 1024
 FACT_COLUMNS = ("instance", "time_raw", "time_utc_ns", "time_quality", "time_year", "time_zone", "host", "program", "service", "pid", "queue_id", "no_queue", "kind", "message", "native_status_field", "parse_error")
 
 
@@ -22,15 +25,22 @@ def fact_digest():
 def revision(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One digest of all facts (or of each group): the digest of the digests in provenance order.
 
-    Independent of row order and partitioning. Per stream first, then over streams, so that the
-    final step sees one digest per stream.
+    Independent of row order and partitioning. A tree: over the facts of RANGE_BYTES of an origin,
+    over the ranges of the origin, over origins of a group (by hash), over the groups; so no step
+    gathers all facts of an origin, or all origins, into one row.
     """
-    stream = (*by, *[c for c in ("source_id", "origin_id") if c not in by])
-    per_fact = facts.select(*{*by, *REF}, fact_digest().alias("d"))
-    part = per_fact.groupBy(*stream).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "d"))), lambda x: x["d"])), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    last = F.struct(*[c for c in ("source_id", "origin_id")], "d")
-    whole = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(last)), lambda x: x["d"])), 256)
-    return part.groupBy(*by).agg(whole.alias("revision"), F.sum("n").alias("n_facts"))
+    stream = [*by, *[c for c in ("source_id", "origin_id") if c not in by]]
+
+    def level(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(*order, "d")))
+        return rows.groupBy(*keys).agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["d"])), 256).alias("d"), F.sum("n").alias("n"))
+
+    rows = facts.select(*{*by, *REF}, fact_digest().alias("d"), F.lit(1).alias("n")).withColumn("range", F.floor(F.col("start_offset") / RANGE_BYTES))
+    rows = level(rows, [*stream, "range"], ["start_offset", "end_offset"])
+    rows = level(rows, stream, ["range"])
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("source_id", "origin_id"), F.lit(ORIGIN_GROUPS)))
+    rows = level(rows, [*by, "group"], ["source_id", "origin_id"])
+    return level(rows, list(by), ["group"]).select(*by, F.col("d").alias("revision"), F.col("n").alias("n_facts"))
 
 
 def queue_instances(gens: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ ORACLE = {
     "scope_semi_join": f"WITH {facts()} SELECT start_offset, instance, queue_id FROM f WHERE (instance = 'mx-1' AND queue_id IN ('A000102', 'A000110', 'A003105')) OR (instance = 'mx-2' AND queue_id = 'A000203')",
     "retention_preview": f"WITH {facts()}, {MARKS} SELECT start_offset, instance FROM f JOIN c USING (source_id, origin_id) WHERE t < 1705276800000000000 AND end_offset <= off AND NOT (source_id = 'src-1' AND origin_id = 'org-1')",
     "retention_purge": f"WITH {facts()}, {MARKS} SELECT start_offset, instance FROM f JOIN c USING (source_id, origin_id) WHERE t < 1705276800000000000 AND end_offset <= off AND (source_id = 'src-0' OR (source_id = 'src-2' AND origin_id = 'org-0'))",
-    "replay_guard": f"WITH {facts()} SELECT start_offset, CASE WHEN event_id % 10 = 3 THEN CASE WHEN event_id % 70 = 3 THEN 'collision' ELSE 'skipped' END ELSE 'new' END AS outcome FROM f",
+    "replay_guard": f"WITH {facts()} SELECT start_offset, CASE WHEN event_id % 70 IN (3, 5) THEN 'collision' WHEN event_id % 10 = 3 THEN 'skipped' WHEN event_id % 10 = 5 THEN 'stored' ELSE 'new' END AS outcome FROM f",
     "revision_digest": f"WITH {facts()} SELECT start_offset, sha256({' || '.join(_frame(x) for x in ('source_id', 'origin_id', 'CAST(start_offset AS VARCHAR)', 'CAST(end_offset AS VARCHAR)', 'queue_id'))}) AS digest FROM f",
     "syslog_roundtrip": f"WITH {EVENTS} SELECT event_id, (us // 1000000) * 1000000000 AS time_utc_ns, 'mx-' || CAST(u % 3 AS VARCHAR) AS host, CASE event_type WHEN 'signup' THEN 'cleanup' WHEN 'click' THEN 'smtp' WHEN 'purchase' THEN 'local' ELSE 'qmgr' END AS service, CAST(u AS VARCHAR) AS pid, CASE WHEN event_id % 101 = 0 THEN 'invalid_syslog_envelope' ELSE '' END AS parse_error FROM e WHERE event_id % 101 <> 0 UNION ALL SELECT event_id, NULL, '', '', '', 'invalid_syslog_envelope' FROM events WHERE event_id % 101 = 0",
     "postfix_fields": f"WITH {facts()} SELECT event_id, CASE WHEN et = 'error' THEN 'removed' WHEN delivery THEN 'delivery' ELSE 'message' END AS kind, queue_id, mid AS message_id, sender, CASE WHEN delivery THEN address END AS recipient, CASE WHEN delivery THEN CASE WHEN is_hint OR et = 'purchase' THEN 'sent' ELSE 'deferred' END END AS status FROM f",
@@ -187,8 +187,9 @@ ORACLE = {
     "address_domains": f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), a AS (SELECT doc_id, w FROM w WHERE contains(w, '@'))
 SELECT doc_id, w AS word, CASE WHEN len(w) - len(replace(w, '@', '')) = 1 AND NOT starts_with(w, '@') AND NOT regexp_matches(w, '[\\s\\x00-\\x1f\\x7f<>"]') AND len(split_part(w, '@', 2)) <= 253 AND regexp_matches(split_part(w, '@', 2), '{_DOMAIN}') THEN lower(split_part(w, '@', 2)) END AS domain FROM a""",
     "queue_id_grammar": r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE len(w) BETWEEN 3 AND 32 AND regexp_full_match(w, '[A-Za-z0-9]+') AND (regexp_matches(w, '[0-9]') OR regexp_full_match(w, '[A-F]+')) GROUP BY w",
-    "left_join_checkpoints": "SELECT c_custkey, o.last_order FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey",
-    "contiguity_check": "SELECT l_orderkey, count(*) AS n_gaps FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM lineitem) WHERE l_linenumber <> before + 1 GROUP BY l_orderkey",
+    "left_join_checkpoints": f"WITH {facts()} SELECT source_id, origin_id, CASE WHEN source_id = 'src-0' THEN 'retired' ELSE 'following' END AS state, CASE WHEN origin_id = 'org-0' THEN off END AS \"offset\" FROM (SELECT source_id, origin_id, max(end_offset) * 3 // 4 AS off FROM f GROUP BY ALL) WHERE source_id <> 'src-2'",
+    "import_runs": f"WITH {facts()}, m AS (SELECT source_id, origin_id, max(end_offset) * 3 // 4 AS off FROM f WHERE source_id = 'src-2' GROUP BY ALL) SELECT source_id, origin_id, 'complete' AS status, off AS end_offset, off AS \"offset\", '' AS fault FROM m UNION ALL SELECT source_id, origin_id, 'running', 0, off, '' FROM m WHERE origin_id = 'org-1'",
+    "contiguity_check": f"WITH {facts()} SELECT source_id, origin_id, start_offset, expected FROM (SELECT *, coalesce(lag(end_offset) OVER (PARTITION BY source_id, origin_id ORDER BY start_offset), 0) AS expected FROM f) WHERE expected <> start_offset",
     "import_origin_ids": f"SELECT doc_id, 'import-v1:' || sha256({' || '.join(_frame(x) for x in (chr(39) + 'import-origin' + chr(39), 'source', 'sha256(text)'))}) AS origin_id FROM documents",
     "utf8_wire": "SELECT doc_id, 'utf8' AS encoding, text AS value FROM documents",
     "conversation_pages": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n BETWEEN 2 AND 3",

@@ -6,7 +6,7 @@ import threading
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghelm.functions.scalars import wire_value
@@ -103,6 +103,12 @@ def detail(facts: DataFrame, candidate: str, limit: int = MAX_FACTS) -> tuple[Da
     return _of(p.summaries, row), _of(p.recipients, row).orderBy("address")
 
 
+def positioned(rows: DataFrame) -> DataFrame:
+    """Rows of generations with their position (from 0) in the timed order of their generation,
+    whose places in the stream follow one another."""
+    return rows.withColumn("position", F.col("place") - F.min("place").over(Window.partitionBy(*GENERATION)))
+
+
 def timeline(facts: DataFrame, candidate: str, limit: int = 50, cursor: str | None = None, raw: bool = False) -> tuple[DataFrame, str | None]:
     """A page of the candidate's facts in timed order; raw lines only if asked for."""
     if not 1 <= limit <= 200:
@@ -113,10 +119,9 @@ def timeline(facts: DataFrame, candidate: str, limit: int = 50, cursor: str | No
     n = row["n_facts"]
     if start >= n:
         raise RefusedError("invalid_cursor")
-    first = own.agg(F.min("place")).first()[0]
-    page = own.where(F.col("place").between(first + start, first + start + limit - 1)).orderBy("place")
+    page = positioned(own).where(F.col("position").between(start, start + limit - 1)).orderBy("position")
     values = F.transform_values("fields", lambda _, v: wire_value(v))
-    out = page.select((F.col("place") - first).alias("position"), *[F.col(c).cast("string").alias(c) for c in REF], "t", "time_quality", "kind", "service", wire_value(F.col("message")).alias("message"), values.alias("fields"), (wire_value(F.col("raw")) if raw else F.lit(None)).alias("raw"))
+    out = page.select("position", *[F.col(c).cast("string").alias(c) for c in REF], "t", "time_quality", "kind", "service", wire_value(F.col("message")).alias("message"), values.alias("fields"), (wire_value(F.col("raw")) if raw else F.lit(None)).alias("raw"))
     return out, timeline_cursor(candidate, raw, start + limit) if start + limit < n else None
 
 

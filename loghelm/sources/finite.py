@@ -76,7 +76,8 @@ def _cut(path: str, content: bytes, gzip: bool, caps: Caps) -> Iterator[dict]:
 def inspect(spark: SparkSession, paths: list[str], gzip: bool = False, caps: Caps = Caps()) -> DataFrame:
     """RECORDS: a head row per input (no offsets) and a row per LF-terminated line.
 
-    gzip is stated, never guessed from a name. Inputs are read by Spark, one task each.
+    gzip is stated, never guessed from a name. Inputs are read by Spark, one task each; it leaves
+    out files of no bytes, so these are found by their size.
     """
     if not 1 <= len(paths) <= MAX_INPUTS or len(set(paths)) != len(paths):
         raise RefusedError("invalid_inputs")
@@ -96,7 +97,16 @@ def inspect(spark: SparkSession, paths: list[str], gzip: bool = False, caps: Cap
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(cut, RECORDS)
+    out = files.mapInArrow(cut, RECORDS)
+    heads = [tuple(row[n] for n in schema.names) for path in _empty(spark, paths) for row in _cut(path, b"", gzip, caps)]
+    return out.unionByName(spark.createDataFrame(heads, RECORDS)) if heads else out
+
+
+def _empty(spark: SparkSession, paths: list[str]) -> list[str]:
+    conf = spark._jsc.hadoopConfiguration()
+    found = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths)
+    said = [p.getFileSystem(conf).getFileStatus(p) for p in found]  # at most MAX_INPUTS
+    return [s.getPath().toString() for s in said if s.isFile() and s.getLen() == 0]
 
 
 def imported(records: DataFrame, source_id: str, instance: str) -> DataFrame:

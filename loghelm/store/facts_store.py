@@ -8,27 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loghelm.functions.scalars import framed
 from loghelm.plans.projection import Projection, build_projection
 from loghelm.plans.search import searchable
 from loghelm.plans.scope import check_scope, facts_in_scope
 from loghelm.schema import FACT, REF, RETENTION_BATCH, RefusedError
 from loghelm.sources.follow import stored_change
+from loghelm.store.imports import CHECKPOINTS, IMPORTS, ImportAttempt, runs_with_marks, with_marks
+from loghelm.store.replay import outcomes, purge_digest
 from loghelm.store.retention import covered, purgeable
 from loghelm.store.snapshots import Snapshots, Version
 
 FACTS = FACT + ", event_id long, search_ns long, sender string, recipient string, message_id string, status string, sender_domain string, recipient_domain string"
 ORIGINS = "source_id string, origin_id string, path string, device long, inode long, prefix string, state string"
-CHECKPOINTS = "source_id string, origin_id string, offset long, anchor string"
-IMPORTS = "run_id string, source_id string, origin_id string, sha256 string, content_bytes long, records long, end_offset long, status string, error string"
 PURGED = "source_id string, origin_id string, start_offset long, end_offset long, digest string"
 NEAR_ORIGINS = 32
-PURGE_DOMAIN = "loghelm-purge-1"
-
-
-def purge_digest():
-    """Commitment to the bytes of a purged record."""
-    return F.sha2(framed(F.lit(PURGE_DOMAIN), F.hex("raw"), F.col("parse_error")), 256)
 
 
 @dataclass(frozen=True)
@@ -50,7 +43,7 @@ class FactStore:
     def origins(self, at: Version | None = None) -> DataFrame:
         """Origins with their checkpoints; an absent checkpoint is not offset 0."""
         at = at or self.snapshots.current()
-        return self.snapshots.read("origins", ORIGINS, at).join(self.checkpoints(at), ["source_id", "origin_id"], "left")
+        return with_marks(self.snapshots.read("origins", ORIGINS, at), self.checkpoints(at))
 
     def origins_page(self, source_id: str, after: str = "", limit: int = 100, path: str | None = None) -> tuple[list, bool]:
         rows = self.origins().where((F.col("source_id") == source_id) & (F.col("origin_id") > after))
@@ -60,12 +53,19 @@ class FactStore:
     def checkpoints(self, at: Version | None = None) -> DataFrame:
         return self.snapshots.read("checkpoints", CHECKPOINTS, at)
 
-    def checkpoint(self, source_id: str, origin_id: str) -> tuple[int, str] | None:
-        got = self.checkpoints().where((F.col("source_id") == source_id) & (F.col("origin_id") == origin_id)).head(1)
+    def checkpoint(self, source_id: str, origin_id: str, at: Version | None = None) -> tuple[int, str] | None:
+        got = self.checkpoints(at).where((F.col("source_id") == source_id) & (F.col("origin_id") == origin_id)).head(1)
         return (got[0]["offset"], got[0]["anchor"]) if got else None
 
-    def import_run(self, run_id: str):
-        got = self.snapshots.read("imports", IMPORTS).where(F.col("run_id") == run_id).head(1)
+    def import_runs(self, at: Version | None = None) -> DataFrame:
+        """Import runs with their checkpoints, and what is wrong with a row, if anything."""
+        at = at or self.snapshots.current()
+        return runs_with_marks(self.snapshots.read("imports", IMPORTS, at), self.checkpoints(at))
+
+    def import_run(self, run_id: str, at: Version | None = None):
+        got = self.import_runs(at).where(F.col("run_id") == run_id).head(1)
+        if got and got[0]["fault"]:
+            raise RefusedError("import_state", got[0]["fault"])
         return got[0] if got else None
 
     # writing
@@ -81,16 +81,10 @@ class FactStore:
         if not once.withColumn("before", F.lag("end_offset").over(w)).where(F.col("before") > F.col("start_offset")).isEmpty():
             raise RefusedError("collision", "within the batch")
         near = self._near(once)
-        old = self.facts(at).where(near).select(*REF[:3], F.col("end_offset").alias("old_end"), F.col("raw").alias("old_raw"))
-        met = once.join(old, list(REF[:3]))
-        if not met.where((F.col("old_end") != F.col("end_offset")) | ~F.col("old_raw").eqNullSafe(F.col("raw"))).isEmpty():
-            raise RefusedError("collision", "with a stored record")
-        purged = self.snapshots.read("purged", PURGED, at).where(near).select(*REF[:3], F.col("digest").alias("old_digest"))
-        gone = once.join(purged, list(REF[:3]))
-        if not gone.where(F.col("old_digest") != purge_digest()).isEmpty():
-            raise RefusedError("collision", "with a purged record")
-        fresh = once.join(old, list(REF[:3]), "left_anti")
-        return fresh.join(purged, list(REF[:3]), "left_anti").select(*once.columns)
+        told = outcomes(once, self.facts(at).where(near), self.snapshots.read("purged", PURGED, at).where(near))
+        if not told.where(F.col("outcome") == "collision").isEmpty():
+            raise RefusedError("collision", "with a stored or purged record")
+        return told.where(F.col("outcome") == "new").select(*once.columns)
 
     def _near(self, batch: DataFrame):
         """A condition on provenance that holds for all that a batch can meet, made of literals so
@@ -106,21 +100,16 @@ class FactStore:
         r = by_origin.agg(F.min("source_id"), F.max("source_id"), F.min("lo"), F.max("hi")).first()
         return F.col("source_id").between(r[0], r[1]) & F.col("start_offset").between(r[2], r[3])
 
-    def commit(self, facts: DataFrame, origins: DataFrame | None = None, checkpoints: DataFrame | None = None, notes: dict | None = None, imports: DataFrame | None = None) -> Version:
-        """All of a batch or nothing. Sending the same batch again changes nothing."""
-        base = self.snapshots.current()
-        names = [c.strip().split()[0] for c in FACT.split(", ")]
-        new = self._new_only(facts.select(*names), base)
-        first = int(base.notes.get("last_event_id", 0))
-        # ids follow provenance order; they only break ties of instants within pages
-        rows = searchable(new).withColumn("event_id", F.row_number().over(Window.partitionBy("source_id", "origin_id").orderBy("start_offset")))
-        sizes = rows.groupBy("source_id", "origin_id").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.withColumn("shift", F.sum("n").over(Window.orderBy("source_id", "origin_id")) - F.col("n") + first)  # one row per origin of the batch
-        rows = rows.join(sizes, ["source_id", "origin_id"]).withColumn("event_id", (F.col("event_id") + F.col("shift")).cast("long"))
+    def commit(self, facts: DataFrame | None, origins: DataFrame | None = None, checkpoints: DataFrame | None = None, notes: dict | None = None, imports: DataFrame | None = None, base: Version | None = None) -> Version:
+        """All of a batch or nothing. Sending the same batch again changes nothing. `base` is the
+        version that the batch was made from, if another writer's version in between must refuse it."""
+        base = base or self.snapshots.current()
         tables: dict[str, list[str]] = {}
-        staged = self.snapshots.stage("facts", rows.select(*[c.strip().split()[0] for c in FACTS.replace("map<string,string>", "map").split(", ")]), ("instance", "search_ns"))
-        count = self.spark.read.parquet(f"{self.snapshots.root}/{staged}").count()
-        tables["facts"] = [*base.tables.get("facts", []), staged] if count else base.tables.get("facts", [])
+        count = 0
+        if facts is not None:
+            staged, count = self._staged(facts, base)
+            if count:
+                tables["facts"] = [*base.tables.get("facts", []), staged]
         if origins is not None:
             tables["origins"] = [self.snapshots.stage("origins", self._merged_origins(origins, base))]
         if checkpoints is not None:
@@ -129,7 +118,24 @@ class FactStore:
             tables["checkpoints"] = [self.snapshots.stage("checkpoints", ahead)]
         if imports is not None:
             tables["imports"] = [self.snapshots.stage("imports", self._merged_imports(imports, base))]
-        return self.snapshots.publish(base, tables, {**(notes or {}), "last_event_id": first + count})
+        return self.snapshots.publish(base, tables, {**(notes or {}), "last_event_id": int(base.notes.get("last_event_id", 0)) + count})
+
+    def _staged(self, facts: DataFrame, base: Version) -> tuple[str, int]:
+        """Writes the facts that are new, with their ids. The batch is written as it came first, so
+        that its parser runs once for all the checks."""
+        names = [c.strip().split()[0] for c in FACT.split(", ")]
+        came = self.snapshots.stage("incoming", facts.select(*names))
+        new = self._new_only(self.spark.read.schema(FACT).parquet(f"{self.snapshots.root}/{came}"), base)
+        # ids follow provenance order; they only break ties of instants within pages
+        rows = searchable(new).withColumn("event_id", F.row_number().over(Window.partitionBy("source_id", "origin_id").orderBy("start_offset")))
+        sizes = rows.groupBy("source_id", "origin_id").agg(F.count(F.lit(1)).alias("n"))
+        first = int(base.notes.get("last_event_id", 0))
+        sizes = sizes.withColumn("shift", F.sum("n").over(Window.orderBy("source_id", "origin_id")) - F.col("n") + first)  # one row per origin of the batch
+        rows = rows.join(sizes, ["source_id", "origin_id"]).withColumn("event_id", (F.col("event_id") + F.col("shift")).cast("long"))
+        staged = self.snapshots.stage("facts", rows.select(*[c.strip().split()[0] for c in FACTS.replace("map<string,string>", "map").split(", ")]), ("instance", "search_ns"))
+        count = self.spark.read.parquet(f"{self.snapshots.root}/{staged}").count()
+        self.snapshots.discard(came)
+        return staged, count
 
     def _merged_origins(self, new: DataFrame, at: Version) -> DataFrame:
         """Identity columns never change; states change only along legal transitions."""
@@ -148,24 +154,35 @@ class FactStore:
             raise RefusedError("import_is_final")
         return old.join(new, "run_id", "left_anti").unionByName(new.select(*old.columns))
 
-    def import_records(self, run_id: str, head: DataFrame, facts: DataFrame) -> Version:
-        """One finite input: contiguous records from 0, and its manifest row, in one commit."""
-        w = Window.partitionBy("origin_id").orderBy("start_offset")
-        gaps = facts.withColumn("expected", F.coalesce(F.lag("end_offset").over(w), F.lit(0))).where(F.col("expected") != F.col("start_offset"))
-        if not gaps.isEmpty():
-            raise RefusedError("records_not_contiguous")
+    def import_records(self, run_id: str, head: DataFrame, facts: DataFrame, source_id: str = "", step_bytes: int | None = None) -> Version:
+        """One finite input: its head row, and its contiguous records from 0. The run is taken up
+        where it stands. Records are committed at once, or in steps of about `step_bytes`."""
         top = head.first()
+        some = facts.select("source_id").head(1)
+        attempt = ImportAttempt(self, run_id, some[0]["source_id"] if some else source_id)
+        row = attempt.begin()
+        if row["status"] != "running":
+            if row["sha256"] is not None and row["sha256"] != top["sha256"]:
+                raise RefusedError("import_is_final")
+            return self.snapshots.current()
         if top["failure"]:
-            status, error = "failed", top["failure"]
-        elif top["partial_tail"]:
-            status, error = "failed", "partial_final_line"
-        else:
-            status, error = "complete", ""
-        ids = facts.agg(F.min("source_id").alias("s"), F.min("origin_id").alias("o"), F.count(F.lit(1)).alias("n"), F.max("end_offset").alias("e")).first()
-        row = self.spark.createDataFrame([(run_id, ids["s"], ids["o"], top["sha256"], top["content_bytes"], ids["n"], ids["e"] or 0, status, error)], IMPORTS)
-        # the end of the content is the checkpoint; its anchor is the content's digest
-        mark = self.spark.createDataFrame([(ids["s"], ids["o"], ids["e"], top["sha256"])], CHECKPOINTS) if ids["n"] else None
-        return self.commit(facts, checkpoints=mark, imports=row)
+            attempt.finish(top["failure"])
+            return self.snapshots.current()
+        row = attempt.bind(top["sha256"], top["content_bytes"])
+        came = None
+        if step_bytes is not None:  # written once, as each step reads its part
+            came = self.snapshots.stage("incoming", facts)
+            facts = self.spark.read.schema(facts.schema).parquet(f"{self.snapshots.root}/{came}")
+        at = -1
+        while at < row["end_offset"] < row["content_bytes"]:
+            at = row["end_offset"]
+            row = attempt.advance(facts if step_bytes is None else facts.where(F.col("start_offset").between(at, at + step_bytes - 1)))
+            if step_bytes is None:
+                break
+        if came is not None:
+            self.snapshots.discard(came)
+        attempt.finish("partial_final_line" if top["partial_tail"] else "")
+        return self.snapshots.current()
 
     # projections
 

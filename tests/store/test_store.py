@@ -10,7 +10,9 @@ from loghelm.sources.envelope import TimeContext
 from loghelm.sources.finite import Caps, imported, inspect
 from loghelm.sources.follow import Follower, register, select_origin, verify
 from loghelm.sources.mail_lines import parse_lines
+from loghelm.operators.identity import revision
 from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
+from loghelm.store.imports import ImportAttempt
 from loghelm.streaming.ingest import ingest, read_log
 from tests.helpers import CTX, INBOUND, facts
 
@@ -91,6 +93,64 @@ def test_finite_imports(spark, tmp_path):
     assert "invalid_gzip" in inspect(spark, [str(packed)], True).first().failure
 
 
+def test_import_is_taken_up_again(spark, tmp_path):
+    text = INBOUND.strip().encode() + b"\n"
+    path = tmp_path / "a.log"
+    path.write_bytes(text)
+    r = inspect(spark, [str(path)])
+    head = r.where(F.col("start_offset").isNull())
+    lines = parse_lines(imported(r, "hist", "mx-a").drop("path"), CTX).persist()
+    top = head.first()
+    store = FactStore(spark, str(tmp_path / "store"))
+    run = ImportAttempt(store, "run", "hist")
+    refused("import_not_begun", run.advance, lines)
+    assert run.begin().status == "running" and run.begin().end_offset == 0
+    refused("import_mismatch", ImportAttempt(store, "run", "else").begin)
+    refused("import_unbound", run.advance, lines)
+    run.bind(top.sha256, top.content_bytes)
+    refused("import_resume", run.bind, "00" * 32, top.content_bytes)
+    ends = sorted(x.end_offset for x in lines.select("end_offset").collect())
+    refused("records_not_contiguous", run.advance, lines.where(F.col("start_offset") >= ends[0]))
+    refused("import_mismatch", run.advance, lines.withColumn("origin_id", F.lit("other")))
+    run.advance(lines.where(F.col("end_offset") <= ends[2]))  # and here the process is lost
+    refused("import_unfinished", run.finish)
+    store = FactStore(spark, str(tmp_path / "store"))
+    row = store.import_run("run")
+    assert (row.status, row.records, row.end_offset, row.offset) == ("running", 3, ends[2], ends[2])
+    store.import_records("run", head, lines, step_bytes=150)
+    row = store.import_run("run")
+    assert (row.status, row.records, row.end_offset) == ("complete", 7, len(text)) and store.facts().count() == 7
+    refused("import_is_final", ImportAttempt(store, "run", "hist").finish, "late")
+    # another run of the same content starts where the checkpoint stands and adds nothing
+    store.import_records("again", head, lines)
+    assert store.import_run("again").status == "complete" and store.import_run("again").records == 0 and store.facts().count() == 7
+    lines.unpersist()
+
+
+def test_import_of_empty_and_broken_inputs(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "store"))
+    for name, text, status, error in (("empty", b"", "complete", ""), ("tail", INBOUND.strip().encode(), "failed", "partial_final_line"), ("only", b"no end", "failed", "partial_final_line")):
+        path = tmp_path / name
+        path.write_bytes(text)
+        r = inspect(spark, [str(path)])
+        store.import_records(name, r.where(F.col("start_offset").isNull()), parse_lines(imported(r, "hist", "mx-a").drop("path"), CTX), "hist")
+        row = store.import_run(name)
+        assert (row.source_id, row.status, row.error) == ("hist", status, error)
+    assert store.facts().count() == 6
+    path.write_bytes(b"not gzip")
+    r = inspect(spark, [str(path)], True)
+    store.import_records("bad", r.where(F.col("start_offset").isNull()), parse_lines(imported(r, "hist", "mx-a").drop("path"), CTX), "hist")
+    assert store.import_run("bad").status == "failed" and store.import_run("bad").sha256 is None
+
+
+def test_revision_does_not_depend_on_layout(spark):
+    df = facts(spark, INBOUND).unionByName(facts(spark, INBOUND, origin="two"))
+    one = revision(df).first()
+    assert one.n_facts == 14 and revision(df.repartition(3)).first() == one
+    assert revision(df.where("start_offset > 0")).first().revision != one.revision
+    assert revision(df, ("origin_id",)).count() == 2
+
+
 def test_resume_decisions(tmp_path):
     path = str(tmp_path / "mail.log")
     with open(path, "wb") as f:
