@@ -15,10 +15,18 @@ at one distance before it, and equal starts meet at equal distances.
    suffixes, and the reversed texts before the anchors, by multikey quicksort over words of 8
    bytes. Two starts at distance d are equal when the suffixes share need - d bytes and the
    reversed texts share d, that is, when they lie in one run of each order cut at these lengths.
-   A splitter is a leading string of LEAD bytes and equal leads are never parted, so suffixes on
+   A splitter is a leading string of LEAD bytes and equal leads are not parted, so suffixes on
    two sides of a boundary differ within LEAD bytes and share no string: the comparison across
-   boundaries is settled by the choice of splitters, for any number of buckets.
-4. The covered ranges of each document are united and cut out.
+   boundaries is settled by the choice of splitters, for any number of buckets. Copies that meet
+   in a bucket are adjacent; they are settled as they come, and one of them is kept.
+4. A lead of more than HOT suffixes is split by deeper splitters. Its suffixes are range-partitioned
+   by all their bytes, so that copies meet and are settled; those left over go out once for each
+   band of BANDS[0] distances, keyed by the bytes that all strings of the band share, and once more
+   in bands of BANDS[1] = 1 where even such a key is hot. The key of a band of 1 is the string
+   itself, of which a bucket keeps one. So a bucket holds HOT + CHUNK suffixes at most.
+5. The covered ranges of each document are united and cut out.
+
+Rows are told apart by 128 bits of hash of id and text.
 
 Defined cases: null texts are empty; texts shorter than `need` bytes lose nothing; rows that
 repeat are copies of each other and so lose everything they could (if `need` bytes long); null
@@ -29,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +50,11 @@ from loghelm.llm.common import Scratch, text_or_empty
 LEAD = 64
 BATCH_BYTES = 2_000_000
 CHUNK = 40_000
+HOT = 50_000
+BANDS = (16, 1)
+ROW = ["doc", "doc2"]
+RANGE = "doc long, doc2 long, lo int, hi int"
+FOUND = "doc long, doc2 long, at int, near int, far int, lo int, hi int, context binary"
 
 
 def words_at(raw: bytes, n: int) -> np.ndarray:
@@ -100,24 +114,32 @@ def _batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Multikey quicksort: the order of rows of 8-byte words, word by word, ties only."""
+    """Multikey quicksort: the order of rows of 8-byte words.
+
+    A segment is a run of rows known to share its first `depth` words. Each round parts all open
+    segments at once into the rows below, at and above a pivot (the median of three) in the next
+    word; the rows at the pivot go on to the word after it.
+    """
     m, width = words.shape
-    order = np.arange(m)
-    group = np.zeros(m, np.int64)  # of each place in the order; equal so far
-    for w in range(width):
-        open_ = np.zeros(m, bool)
-        open_[1:] = group[1:] == group[:-1]
-        open_[:-1] |= open_[1:]
-        at = np.nonzero(open_)[0]
-        if not len(at):
-            break
-        rows = order[at]
-        inner = np.lexsort((words[rows, w], group[at]))
-        order[at] = rows[inner]
-        fresh = np.zeros(m, np.int64)
-        value = words[order, w]
-        fresh[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-        group = np.cumsum(fresh)
+    words = words.astype(np.uint64)
+    order, depth = np.arange(m), np.zeros(m, np.int64)
+    segment = np.zeros(m, np.int64)  # place where the segment of each place begins
+    open_ = np.arange(m) if m > 1 else np.zeros(0, np.int64)
+    while len(open_):
+        rows, at = order[open_], depth[open_]
+        value = words[rows, at]
+        first = np.flatnonzero(np.diff(segment[open_], prepend=-1))
+        size = np.diff(np.append(first, len(open_)))
+        trio = np.sort(np.stack([value[first], value[first + size // 2], value[first + size - 1]]), axis=0)
+        pivot = np.repeat(trio[1], size)
+        part = np.repeat(np.arange(len(first)), size) * 3 + (value >= pivot) + (value > pivot)
+        inner = np.argsort(part, kind="stable")
+        order[open_], part = rows[inner], part[inner]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        size = np.diff(np.append(first, len(open_)))
+        segment[open_] = np.repeat(open_[first], size)
+        depth[open_] = at + (part % 3 == 1)  # `at` is one value in each old segment
+        open_ = open_[(np.repeat(size, size) > 1) & (depth[open_] < width)]
     return order
 
 
@@ -167,83 +189,110 @@ def repeated_starts(contexts: list[bytes], nearest: np.ndarray, farthest: np.nda
     return flags
 
 
-def _ranges(doc: np.ndarray, at: np.ndarray, flags: np.ndarray, need: int) -> pd.DataFrame:
+def _ranges(f: pd.DataFrame, flags: np.ndarray, need: int) -> pd.DataFrame:
     """The byte ranges covered by the flagged starts, one for each run of distances."""
     edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, d_lo = np.nonzero(edge == 1)
     _, d_hi = np.nonzero(edge == -1)
-    return pd.DataFrame({"doc": doc[row], "lo": at[row] - (d_hi - 1), "hi": at[row] - d_lo + need})
-
-
-def suffix_dedup(docs: DataFrame, need: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    at = f["at"].to_numpy(np.int64)[row]
+    return f[ROW].iloc[row].assign(lo=(at - (d_hi - 1)).astype(np.int32), hi=(at - d_lo + need).astype(np.int32))
+
+
+def _merged(f: pd.DataFrame, need: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(ranges, rest): of suffixes in order, adjacent copies (equal context at equal distances)
+    are covered whole, and the first of them is kept with lo = -1, as settled."""
+    far, context = f["far"].to_numpy(), f["context"].tolist()
+    same = np.zeros(len(f), bool)
+    same[1:] = [i == j and a == b for i, j, a, b in zip(far[1:], far, context[1:], context)]
+    copy = same.copy()
+    copy[:-1] |= same[1:]
+    lo = f["lo"].to_numpy()
+    # a kept first stands for copies wherever one of its run was settled before
+    run = np.cumsum(~same) - 1
+    settled = copy | (np.bincount(run, weights=lo < 0, minlength=1)[run] > 0 if len(f) else copy)
+    done = f[settled & (lo >= 0)]
+    ranges = done[ROW].assign(lo=done["at"] - done["far"], hi=done["at"] - done["near"] + need)
+    rest = f.assign(lo=np.where(settled, -1, lo).astype(np.int32))[~same].reset_index(drop=True)
+    return ranges, rest
+
+
+def _banded(rows: DataFrame, need: int, width: int) -> DataFrame:
+    """Each suffix once for each band of `width` distances that its strings fall in, cut to the
+    bytes of these, with `lead`: the bytes that any string of the band has."""
+    out = rows.withColumn("from", F.explode(F.sequence(F.col("near") - F.col("near") % width, F.col("far"), F.lit(width))))
+    out = out.withColumns({"near_": F.greatest("near", "from").cast("int"), "far_": F.least("far", F.col("from") + width - 1).cast("int")})
+    out = out.withColumn("context", F.substring("context", F.col("far") - F.col("far_") + 1, F.col("far_") + need - F.col("near_")))
+    lead = F.substring("context", (F.col("far_") - F.col("from") + 1).cast("int"), F.lit(need - width + 1))
+    return out.select(*ROW, "at", F.col("near_").alias("near"), F.col("far_").alias("far"), "lo", "hi", "context", lead.alias("lead"))
+
+
+def suffix_dedup(docs: DataFrame, need: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and spans (array of
-    struct<lo, hi>: the removed byte ranges)."""
+    struct<lo, hi>: the removed byte ranges). `hot` suffixes of one lead at most meet in a task."""
     if not LEAD < need <= LEAD + 250:
         raise ValueError(f"need must be above {LEAD} and at most {LEAD + 250} bytes")
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    texts = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
+    texts = texts.withColumns({"doc": F.xxhash64("doc_id", "text"), "doc2": F.xxhash64(F.lit(1), "text", "doc_id")})
 
     def leads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, docs_, places = [], [], []
+        hashes, docs_, docs2, places = [], [], [], []
         for f in frames:
-            ids = f["doc"].to_numpy()
+            ids, ids2 = f["doc"].to_numpy(), f["doc2"].to_numpy()
             for first, raws in _batches(f["text"].tolist()):
                 text, at, near, far, lead = anchors(raws, need)
                 hashes.append(lead)
                 docs_.append(ids[first + text])
+                docs2.append(ids2[first + text])
                 places.append((at << 16) | (near << 8) | far)
         if not hashes:
             return
-        h, doc, place = (np.concatenate(x) for x in (hashes, docs_, places))
+        h, doc, doc2, place = (np.concatenate(x) for x in (hashes, docs_, docs2, places))
         order = np.argsort(h, kind="stable")
-        h, doc, place = h[order], doc[order], place[order]
+        h, doc, doc2, place = h[order], doc[order], doc2[order], place[order]
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
         more = same.copy()
         more[:-1] |= same[1:]
         kind = more.astype(np.int32)  # 1: known to repeat
-        out = pd.DataFrame({"h": h.view(np.int64), "doc": doc, "place": place, "kind": kind})
+        out = pd.DataFrame({"h": h.view(np.int64), "doc": doc, "doc2": doc2, "place": place, "kind": kind})
         yield out
         yield out[more & ~same].assign(kind=2)  # stands for the copies of this task
 
-    seen = scratch.keep(texts.select("doc", "text").mapInPandas(leads, "h long, doc long, place long, kind int"))
+    seen = scratch.keep(texts.select(*ROW, "text").mapInPandas(leads, "h long, doc long, doc2 long, place long, kind int"))
     w = Window.partitionBy("h")
     sent = seen.where("kind <> 1").withColumn("n", F.count(F.lit(1)).over(w))
-    known = seen.where("kind = 1").select("doc", "place").unionByName(sent.where("n > 1 and kind = 0").select("doc", "place"))
-    by_doc = scratch.keep(known.groupBy("doc").agg(F.collect_list("place").alias("places")))
+    known = seen.where("kind = 1").select(*ROW, "place").unionByName(sent.where("n > 1 and kind = 0").select(*ROW, "place"))
+    by_doc = scratch.keep(known.groupBy(*ROW).agg(F.collect_set("place").alias("places")))
     scratch.drop(seen)
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: dict[tuple[bytes, int], tuple] = {}
         for f in frames:
             out = []
-            for doc, text, places in zip(f["doc"], f["text"], f["places"], strict=True):
+            for doc, doc2, text, places in zip(f["doc"], f["doc2"], f["text"], f["places"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                for place in np.unique(places).tolist():
+                for place in places.tolist():
                     at, near, far = place >> 16, place >> 8 & 255, place & 255
                     key = (raw[at - far : at + need - near], far)
                     first = sent.get(key)
                     if first is None:
-                        sent[key] = (doc, at, near)
+                        sent[key] = (doc, doc2, at, near, 0)
                         continue
-                    if first[0] is not None:  # the first of these copies is settled with them
-                        out.append((first[0], first[1] - far, first[1] - first[2] + need))
-                        sent[key] = (None, at, near)
-                    out.append((doc, at - far, at - near + need))
+                    if first[4] == 0:  # the first of these copies is settled with them
+                        out.append((first[0], first[1], first[2] - far, first[2] - first[3] + need))
+                        sent[key] = (doc, doc2, at, near, -1)
+                    out.append((doc, doc2, at - far, at - near + need))
             if out:
-                d, lo, hi = zip(*out, strict=True)
-                yield pd.DataFrame({"doc": np.asarray(d, np.int64), "at": 0, "near": 0, "far": 0, "lo": np.asarray(lo, np.int32), "hi": np.asarray(hi, np.int32), "context": None})
-        rows = [(-1 if doc is None else doc, at, near, far, -1 if doc is None else 0, context) for (context, far), (doc, at, near) in sent.items()]
+                d, d2, lo, hi = zip(*out, strict=True)
+                yield pd.DataFrame({"doc": np.asarray(d, np.int64), "doc2": np.asarray(d2, np.int64), "at": 0, "near": 0, "far": 0, "lo": np.asarray(lo, np.int32), "hi": np.asarray(hi, np.int32), "context": None})
+        rows = [(doc, doc2, at, near, far, lo, context) for (context, far), (doc, doc2, at, near, lo) in sent.items()]
         for i in range(0, len(rows), 20_000):
-            doc, at, near, far, lo, context = zip(*rows[i : i + 20_000], strict=True)
-            yield pd.DataFrame({"doc": np.asarray(doc, np.int64), "at": at, "near": near, "far": far, "lo": lo, "hi": 0, "context": context})
+            doc, doc2, at, near, far, lo, context = zip(*rows[i : i + 20_000], strict=True)
+            yield pd.DataFrame({"doc": np.asarray(doc, np.int64), "doc2": np.asarray(doc2, np.int64), "at": at, "near": near, "far": far, "lo": lo, "hi": 0, "context": context})
 
-    met = texts.select("doc", "text").join(by_doc, "doc").select("doc", "text", "places")
-    found = scratch.keep(met.mapInPandas(contexts, "doc long, at int, near int, far int, lo int, hi int, context binary"))
-    suffixes = found.where(F.col("context").isNotNull()).select("doc", "at", "near", "far", "lo", "context")
-    suffixes = suffixes.withColumn("lead", F.substring("context", F.col("far") + 1, F.lit(LEAD)))
-    dealt = suffixes.repartitionByRange("lead").sortWithinPartitions("lead")
+    met = texts.select(*ROW, "text").join(by_doc, ROW).select(*ROW, "text", "places")
+    found = scratch.keep(met.mapInPandas(contexts, FOUND))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -252,10 +301,11 @@ def suffix_dedup(docs: DataFrame, need: int = 200, id_col: str = "doc_id", text_
             near, far = f["near"].to_numpy(np.int64), f["far"].to_numpy(np.int64)
             flags = repeated_starts(f["context"].tolist(), near, far, need)
             flags[f["lo"].to_numpy() < 0] = False  # stands for copies that are settled
-            return _ranges(f["doc"].to_numpy(), f["at"].to_numpy(np.int64), flags, need)
+            return _ranges(f, flags, need)
 
         for f in frames:
-            rest = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            ranges, rest = _merged(f if rest is None else pd.concat([rest, f], ignore_index=True), need)
+            yield ranges
             if len(rest) < CHUNK:
                 continue
             last = rest["lead"].iloc[-1]
@@ -266,9 +316,40 @@ def suffix_dedup(docs: DataFrame, need: int = 200, id_col: str = "doc_id", text_
         if rest is not None and len(rest):
             yield settle(rest)
 
-    ranges = dealt.mapInPandas(compare, "doc long, lo long, hi long").unionByName(found.where(F.col("context").isNull()).select("doc", F.col("lo").cast("long"), F.col("hi").cast("long")))
-    covered = scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    scratch.drop(found, by_doc)
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for f in frames:
+            f = f.drop(columns="lead")
+            ranges, f = _merged(f if rest is None else pd.concat([rest, f], ignore_index=True), need)
+            yield ranges.assign(at=0, near=0, far=0, context=None)
+            yield f.iloc[:-1]
+            rest = f.iloc[-1:]  # the next batch may go on with copies of it
+        if rest is not None:
+            yield rest
+
+    tables, parts = [found], []
+    todo = found.where("context is not null").withColumn("lead", F.substring("context", F.col("far") + 1, F.lit(LEAD)))
+    for width in (*BANDS, None):
+        crowded = None
+        if width is not None:
+            crowded = scratch.keep(todo.groupBy("lead").count().where(F.col("count") > hot).select("lead"))
+            tables.append(crowded)
+            if crowded.isEmpty():
+                crowded = None
+        rest = todo if crowded is None else todo.join(crowded, "lead", "left_anti")
+        order = ("lead", "far", "context")
+        parts.append(rest.repartitionByRange("lead").sortWithinPartitions(*order).mapInPandas(compare, RANGE))
+        if crowded is None:
+            break
+        # the join's strategy goes by the written size of `crowded`, and AQE splits the hot keys
+        apart = todo.join(crowded, "lead", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+        thin = scratch.keep(apart.mapInPandas(merge, FOUND))
+        tables.append(thin)
+        todo = _banded(thin.where("context is not null"), need, width)
+    ranges = [t.where("context is null").select(*ROW, "lo", "hi") for t in tables if "context" in t.columns] + parts
+    covered = reduce(DataFrame.unionByName, ranges).groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    covered = scratch.keep(covered)
+    scratch.drop(*tables, by_doc)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -293,7 +374,7 @@ def suffix_dedup(docs: DataFrame, need: int = 200, id_col: str = "doc_id", text_
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": [len(s) for s in spans], "kept_sha256": kept, "spans": spans})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    whole = texts.join(covered, "doc", "left").select("doc_id", "text", "ranges")
+    whole = texts.join(covered, ROW, "left").select("doc_id", "text", "ranges")
     if kind == "bigint":  # a null id must not turn the column into floats
         whole = whole.withColumn("doc_id", F.col("doc_id").cast("string"))
         out = whole.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")

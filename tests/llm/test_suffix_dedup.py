@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from loghelm.llm.suffix_dedup import suffix_dedup
+import numpy as np
+
+from loghelm.llm.suffix_dedup import multikey_order, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_bytes string"
 
@@ -26,10 +28,10 @@ def brute(texts, need=200):
     return out
 
 
-def check(spark, texts, ids=None):
+def check(spark, texts, ids=None, **kw):
     ids = list(range(len(texts))) if ids is None else ids
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], SCHEMA)
-    got = suffix_dedup(df.repartition(3)).collect()
+    got = suffix_dedup(df.repartition(3), **kw).collect()
     want = sorted(zip([-1 if i is None else i for i in ids], brute(texts)))
     assert sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
 
@@ -56,3 +58,23 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     t = "".join(chr(97 + (i * i) % 26) for i in range(260)) + "end"
     check(spark, [t, t, None, "short"], [1, 1, None, None])
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_leads_shared_by_many_suffixes_are_split(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    head, long_head = text(90), text(190)
+    texts = [head + text(rng.randint(0, 160)) for _ in range(40)] + [text(100) + long_head + text(rng.randint(0, 30)) for _ in range(30)]
+    tails = [text(3) for _ in range(6)]
+    texts += [rng.choice(tails) + long_head + rng.choice(tails) + rng.choice(tails) for _ in range(30)]
+    texts += texts[:9] + texts[45:50] * 2 + ["q" * 300, "q" * 260, "q" * 450]
+    check(spark, texts, hot=5)
+    check(spark, texts, hot=1)
+
+
+def test_multikey_order_sorts():
+    rng = np.random.default_rng(2)
+    for m, width, top in ((0, 3, 2), (1, 3, 2), (500, 4, 2), (500, 3, 2**63), (300, 25, 1)):
+        words = rng.integers(0, top, (m, width), dtype=np.uint64, endpoint=True).astype(">u8")
+        got = [tuple(r) for r in words[multikey_order(words)].tolist()]
+        assert got == sorted(got)
