@@ -8,13 +8,14 @@ file that only looks the same is refused, and so is one with too little to tell.
 from __future__ import annotations
 
 import hashlib
-
+import json
 import os
 import secrets
 import stat
 import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -189,9 +190,33 @@ def complete_end(path: str, offset: int, budget: int = ROUND_BYTES) -> int:
     return offset + cut + 1 if cut >= 0 else offset
 
 
-def records(path: str, begin: int, end: int) -> Iterator[tuple[int, int, bytes, str]]:
+def open_origin(o: Origin) -> BinaryIO:
+    """The origin's file, known by the identity of the open descriptor and by the bytes before its
+    offset, under its path or any other name in the folder; RefusedError: gap, content_changed."""
+    folder = os.path.dirname(o.path) or "."
+    with os.scandir(folder) as entries:
+        names = [e.path for e in entries if e.inode() == o.inode]
+    for path in dict.fromkeys((o.path, *names)):
+        try:
+            f = os.fdopen(os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK), "rb")
+        except OSError:
+            continue
+        s = os.fstat(f.fileno())
+        if not stat.S_ISREG(s.st_mode) or (s.st_dev, s.st_ino) != (o.device, o.inode):
+            f.close()
+            continue
+        begin = max(0, o.offset - WINDOW)
+        f.seek(begin)
+        if o.offset and anchor(f.read(o.offset - begin), o.offset) != o.anchor:
+            f.close()
+            raise RefusedError("content_changed", path)
+        return f
+    raise RefusedError("gap", f"no file is origin {o.origin_id}")
+
+
+def records(f: BinaryIO, begin: int, end: int) -> Iterator[tuple[int, int, bytes, str]]:
     """(start, end, raw, error) of the lines in a range; of a long line only a prefix is kept."""
-    with open(path, "rb") as f:
+    with f:
         f.seek(begin)
         at = begin
         while at < end:
@@ -210,21 +235,26 @@ class Follower:
     path: str
     start_at: str = "beginning"
     grace_s: float = GRACE_S
-    zero_replay: bool = True
+    zero_replay: bool = False
     budget: int = ROUND_BYTES
     origins: list[Origin] = field(default_factory=list)
+    loaded: set[str] = field(default_factory=set)
 
     def bootstrap(self) -> None:
         if os.path.exists(self.path):
             self.origins = [register(self.path, first_offset(self.path, self.start_at))]
 
     def locate(self, o: Origin) -> str:
-        """Where the origin's file is now, or RefusedError: gap, content_changed."""
+        """Where the origin's file is now, or RefusedError: gap, content_changed, decision. An origin
+        taken up again at offset 0 has no anchor, and is followed only if `zero_replay` allows it."""
         for path in dict.fromkeys((o.path, self.path)):
             if os.path.exists(path):
                 s = os.stat(path, follow_symlinks=False)
                 if (s.st_dev, s.st_ino) == (o.device, o.inode):
-                    verdict = verify(o, path, True) if o.offset else Verdict("match", "new")
+                    known = o.offset or o.origin_id in self.loaded
+                    verdict = verify(o, path, self.zero_replay) if known else Verdict("match", "new")
+                    if verdict.kind == "insufficient":
+                        raise RefusedError("decision", verdict.reason)
                     if verdict.kind == "different":
                         raise RefusedError("content_changed", verdict.reason)
                     if verdict.kind == "match" or verdict.kind == "restart_zero":
@@ -272,6 +302,7 @@ class Follower:
 
     def load(self, offset: dict) -> None:
         self.origins = [Origin(**o) for o in offset["origins"]]
+        self.loaded = {o.origin_id for o in self.origins}
 
 
 def diagnose(errors: list[str]) -> tuple[str, bool]:
@@ -282,21 +313,31 @@ def diagnose(errors: list[str]) -> tuple[str, bool]:
 
 @dataclass
 class Range(InputPartition):
-    origin_id: str
-    path: str
+    """Bytes of an origin from `begin` to its offset, and the origin as it is then."""
+
     begin: int
-    end: int
+    origin: Origin
+
+
+MARKED = ("path", "prefix", "offset", "state")
+#: what the `origin` column of a mark holds, as JSON
+MARK = "path string, device long, inode long, prefix string, offset long, anchor string, state string"
 
 
 class LogFileSource(DataSource):
-    """spark.readStream.format("loghelm_log").option("path", ...).option("sourceId", ...)"""
+    """spark.readStream.format("loghelm_log").option("path", ...).option("sourceId", ...)
+
+    A row is a line (`origin` is null) or, once in a batch for each origin that changed, its mark:
+    `origin` holds its state and verified position as JSON, and there is no line. Files are read
+    where the tasks run, so the folder must be one that the executors see.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "loghelm_log"
 
     def schema(self) -> str:
-        return "source_id string, origin_id string, start_offset long, end_offset long, instance string, raw binary, read_error string"
+        return "source_id string, origin_id string, start_offset long, end_offset long, instance string, raw binary, read_error string, origin string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return LogFileReader(self.options)
@@ -306,7 +347,7 @@ class LogFileReader(DataSourceStreamReader):
     def __init__(self, options):
         self.source_id = options["sourceId"]
         self.instance = options.get("trustedHost") or self.source_id
-        self.follower = Follower(options["path"], options.get("startAt", "beginning"), float(options.get("grace", GRACE_S)), True, int(options.get("maxBytesPerTrigger", ROUND_BYTES)))
+        self.follower = Follower(options["path"], options.get("startAt", "beginning"), float(options.get("grace", GRACE_S)), options.get("zeroReplay", "false") == "true", int(options.get("maxBytesPerTrigger", ROUND_BYTES)))
         self.started = False
 
     def initialOffset(self) -> dict:
@@ -324,17 +365,20 @@ class LogFileReader(DataSourceStreamReader):
         if not self.started:  # after a restart the log of offsets is the state
             self.follower.load(end)
             self.started = True
-        before = {o["origin_id"]: o["offset"] for o in start["origins"]}
+        before = {o["origin_id"]: o for o in start["origins"]}
         out = []
         for o in end["origins"]:
-            begin = before.get(o["origin_id"], 0)
-            if o["offset"] > begin:
-                out.append(Range(o["origin_id"], o["path"], begin, o["offset"]))
+            old = before.get(o["origin_id"])
+            if old is None or any(old[k] != o[k] for k in MARKED):
+                out.append(Range(old["offset"] if old else 0, Origin(**o)))
         return out
 
     def read(self, partition: Range):
-        for start, end, raw, error in records(partition.path, partition.begin, partition.end):
-            yield self.source_id, partition.origin_id, start, end, self.instance, raw, error
+        o = partition.origin
+        if o.offset > partition.begin:
+            for start, end, raw, error in records(open_origin(o), partition.begin, o.offset):
+                yield self.source_id, o.origin_id, start, end, self.instance, raw, error, None
+        yield self.source_id, o.origin_id, o.offset, o.offset, self.instance, None, "", json.dumps(asdict(o))
 
     def commit(self, end: dict) -> None:
         """Positions live in Spark's own log of offsets."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loghelm.sources.envelope import TimeContext
-from loghelm.sources.follow import LogFileSource
+from loghelm.sources.follow import MARK, LogFileSource
 from loghelm.sources.mail_lines import parse_lines
-from loghelm.store.facts_store import CHECKPOINTS, FactStore
+from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
 
 
 def read_log(spark: SparkSession, path: str, source_id: str, **options: str) -> DataFrame:
@@ -21,13 +21,18 @@ def read_log(spark: SparkSession, path: str, source_id: str, **options: str) ->
 
 
 def ingest(lines: DataFrame, store: FactStore, ctx: TimeContext, checkpoint: str, poll: str | None = "1 second") -> StreamingQuery:
-    """Each micro-batch is parsed and committed whole. A batch that Spark repeats after a failure
-    meets its own records in the store and adds nothing."""
+    """Each micro-batch is parsed and committed whole, with the states and anchors of the origins
+    that it changes. A batch that Spark repeats after a failure meets its own records in the store
+    and adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        facts = parse_lines(batch.drop("read_error"), ctx)
-        ends = batch.groupBy("source_id", "origin_id").agg(F.max("end_offset").alias("offset")).withColumn("anchor", F.lit("stream"))
-        store.commit(facts, checkpoints=store.spark.createDataFrame(ends.collect(), CHECKPOINTS), notes={"last_batch": batch_id})  # a row per open file
+        batch.persist()  # a batch is bounded by the source; its files are read once
+        facts = parse_lines(batch.where("origin is null").drop("read_error", "origin"), ctx)
+        marks = batch.where("origin is not null").select("source_id", "origin_id", F.from_json("origin", MARK).alias("o")).select("source_id", "origin_id", "o.*")
+        rows = [r.asDict() for r in marks.collect()]  # one row per origin that changed
+        table = lambda shape: store.spark.createDataFrame([tuple(r[c.split()[0]] for c in shape.split(", ")) for r in rows], shape)
+        store.commit(facts, origins=table(ORIGINS), checkpoints=table(CHECKPOINTS), notes={"last_batch": batch_id})
+        batch.unpersist()
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)

@@ -8,7 +8,7 @@ from loghelm.plans.search import parse_utc
 from loghelm.schema import RefusedError
 from loghelm.sources.envelope import TimeContext
 from loghelm.sources.finite import Caps, imported, inspect
-from loghelm.sources.follow import Follower, register, select_origin, verify
+from loghelm.sources.follow import WINDOW, Follower, anchor, open_origin, records, register, select_origin, verify
 from loghelm.sources.mail_lines import parse_lines
 from loghelm.operators.identity import revision
 from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
@@ -214,3 +214,49 @@ def test_streaming_restart(spark, tmp_path):
     got = store.facts()
     assert got.count() == 8 and got.select("origin_id").distinct().count() == 1
     assert got.where("parse_error <> ''").count() == 1
+    whole = open(path, "rb").read()
+    row = store.origins().collect()
+    assert [(r["state"], r["path"], r["offset"], r["inode"]) for r in row] == [("following", path, len(whole), os.stat(path).st_ino)]
+    assert store.checkpoint("live", row[0]["origin_id"]) == (len(whole), anchor(whole[-WINDOW:], len(whole)))
+
+    os.rename(path, path + ".1")
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    run()
+    assert store.facts().count() == 8 + len(lines)
+    assert sorted((r["state"], r["path"]) for r in store.origins().collect()) == [("following", path), ("following", path + ".1")]
+
+
+def test_read_follows_a_file_that_moves_after_the_plan(tmp_path):
+    path = str(tmp_path / "a.log")
+    with open(path, "wb") as f:
+        f.write(b"one\ntwo\n")
+    o = register(path, 8)
+    os.rename(path, path + ".1")
+    with open(path, "wb") as f:
+        f.write(b"new\nnew\nnew\n")
+    assert [r[2] for r in records(open_origin(o), 0, 8)] == [b"one\n", b"two\n"]
+    with open(path + ".1", "r+b") as f:
+        f.write(b"ONE\n")
+    with pytest.raises(RefusedError, match="content_changed"):
+        open_origin(o)
+    os.remove(path + ".1")
+    with pytest.raises(RefusedError, match="gap"):
+        open_origin(o)
+
+
+def test_zero_replay_is_asked_for(tmp_path):
+    path = str(tmp_path / "a.log")
+    with open(path, "wb") as f:
+        f.write(b"unfinished")
+    first = Follower(path)
+    first.bootstrap()
+    first.advance()
+    for allowed in (False, True):
+        again = Follower(path, zero_replay=allowed)
+        again.load(first.save())
+        if allowed:
+            again.advance()
+        else:
+            with pytest.raises(RefusedError, match="decision"):
+                again.advance()
