@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghelm.functions.facts import usable_time
-from loghelm.functions.scalars import address_domain, framed, import_origin_id, is_queue_id, wire_value
-from loghelm.operators.continuity import extremities
+from loghelm.functions.scalars import address_domain, fits_nanoseconds, framed, import_origin_id, is_field_key, is_queue_id, wire_value
+from loghelm.operators.continuity import chains, check_claims, extremities
 from loghelm.operators.generations import assigned, generations
 from loghelm.operators.identity import queue_instances as with_ordinals
 from loghelm.operators.links import hints, links
-from loghelm.operators.partition import provenance_faults, streams
+from loghelm.operators.partition import other, provenance_faults, streams
 from loghelm.operators.prequeue import prequeue_reports as reports_of
 from loghelm.operators.prequeue import sessions
 from loghelm.operators.recipients import recipients
 from loghelm.operators.summaries import STATUSES, summaries
 from loghelm.oracle import ORACLE
 from loghelm.plans.cursors import SearchCursor
-from loghelm.plans.detail import positioned
+from loghelm.plans.detail import candidates, positioned, timeline
+from loghelm.plans.projection import build_projection
 from loghelm.plans.scope import facts_in_scope
 from loghelm.plans.search import SearchQuery, search_plan, searchable
 from loghelm.schema import DAY_NS, GENERATION, STREAM, field
@@ -135,6 +136,12 @@ def search_all_fields(spark, sf_dir):
     return out
 
 
+def search_more(spark, sf_dir):
+    """A page and the row after it, which tells that there is more."""
+    q = _search(spark, sf_dir, "recipient", "r3@example.net", 20)
+    return search_plan(searchable(_facts(spark, sf_dir)), q).select("event_id", "time_utc_ns")
+
+
 def origin_overlap(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     longer = facts.withColumn("end_offset", F.col("end_offset") + F.when(F.col("event_id") % 89 == 0, 50000).otherwise(0))
@@ -145,6 +152,46 @@ def origin_extremities(spark, sf_dir):
     return extremities(_facts(spark, sf_dir)).select("source_id", "origin_id", "first_start", "last_end")
 
 
+def continuity_chain(spark, sf_dir):
+    """Each day of a source as an origin that goes on with the next day, but for days 10 and 20."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("source_id", "day").orderBy("event_id"))
+    days = event_columns(_t(spark, sf_dir, "events")).select("event_id", "day")
+    daily = _facts(spark, sf_dir).join(days, "event_id").withColumns({"origin_id": F.format_string("d%02d", "day"), "end_offset": (n * 128).cast("long")})
+    daily = daily.withColumn("start_offset", F.col("end_offset") - 128)
+    ends = sorted((r["source_id"], r["origin_id"], r["last_end"]) for r in extremities(daily).collect())  # a row per source and day
+    claims = [(a[0], a[1], a[2], b[1], 0) for a, b in zip(ends, ends[1:]) if a[0] == b[0] and a[1] not in ("d10", "d20")]
+    rows = [(source, chain[0][1], i, origin) for chain in chains(check_claims(daily, claims)) for i, (source, origin) in enumerate(chain)]
+    return spark.createDataFrame(rows, "source_id string, head string, place int, origin_id string")
+
+
+def asof_last_boundary(spark, sf_dir):
+    return sessions(event_sessions(_t(spark, sf_dir, "events"))).select("start_offset", "pid", "open_start")
+
+
+def expirations(spark, sf_dir):
+    facts, gone = _facts(spark, sf_dir), (F.col("service") == "qmgr") & (F.col("kind") == "message") & (F.col("event_id") % 11 == 0)
+    status = F.map_concat("fields", F.create_map(F.lit("status"), F.lit("expired")))
+    facts = facts.withColumns({"fields": F.when(gone, status).otherwise(F.col("fields")), "native_status_field": F.when(gone, F.lit("expired")).otherwise(F.col("native_status_field"))})
+    return summaries(assigned(facts)).select(*GENERATION, "expiration_reports")
+
+
+def other_facts(spark, sf_dir):
+    return other(_facts(spark, sf_dir).withColumn("no_queue", F.col("event_id") % 13 == 0)).select("source_id", "origin_id", "start_offset")
+
+
+def candidate_timeline(spark, sf_dir):
+    """The first facts of every generation of two queues, each asked for by its candidate id."""
+    facts, out = _facts(spark, sf_dir), None
+    for queue in (("mx-1", "A000102"), ("mx-1", "A003105")):
+        for c in candidates(build_projection(facts_in_scope(facts, [queue], [], None), limit=None)):  # few generations of one queue
+            page, _ = timeline(facts, c, limit=3)
+            page = page.select("start_offset", "position", "kind", "service")
+            out = page if out is None else out.unionByName(page)
+    return out if out is not None else spark.createDataFrame([], "start_offset string, position int, kind string, service string")
+
+
 def scope_semi_join(spark, sf_dir):
     parts = [("mx-1", "A000102"), ("mx-1", "A000110"), ("mx-1", "A003105"), ("mx-2", "A000203")]
     return facts_in_scope(_facts(spark, sf_dir), parts, [], None).select("start_offset", "instance", "queue_id")
@@ -218,6 +265,70 @@ def postfix_fields(spark, sf_dir):
     return p.select("event_id", "kind", "queue_id", field("message-id").alias("message_id"), field("from").alias("sender"), field("to").alias("recipient"), field("status").alias("status"))
 
 
+def _parsed(spark, sf_dir, line, ctx=TimeContext(2024, "UTC")):
+    """Events as lines, parsed; `line` is built from the columns of event_columns."""
+    lines = event_columns(_t(spark, sf_dir, "events")).select("event_id", line.cast("binary").alias("raw"))
+    return parse_lines(lines, ctx)
+
+
+def _cases(*texts):
+    """One of the texts by event_id, with every {n} replaced by event_id."""
+    n, out = F.col("event_id"), F.lit(None).cast("string")
+    for i, text in enumerate(texts):
+        out = F.when(n % len(texts) == i, F.replace(F.lit(text), F.lit("{n}"), n.cast("string"))).otherwise(out)
+    return out
+
+
+def rfc5424_lines(spark, sf_dir):
+    n = F.col("event_id")
+    wall = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.when(n % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad((F.col("us") % 1000000).cast("string"), 6, "0")))
+    zone = F.when(n % 3 == 0, F.lit("Z")).when(n % 3 == 1, F.lit("+02:00")).otherwise(F.lit("-05:30"))
+    data = F.when(n % 31 == 0, F.lit("[broken")).when(n % 5 == 0, F.lit('[x@1 a="b\\]c"][y z=""]')).otherwise(F.lit("-"))
+    line = F.concat(F.lit("<"), (n % 200).cast("string"), F.lit(">1 "), wall, part, zone, F.lit(" mx-1 postfix/smtp 77 - "), data, F.lit(" hello "), n.cast("string"))
+    return _parsed(spark, sf_dir, line).select("event_id", "time_utc_ns", "time_quality", "time_zone", "message", "parse_error")
+
+
+def nearest_year(spark, sf_dir):
+    lines = event_lines(_t(spark, sf_dir, "events")).select("event_id", F.col("whole").cast("binary").alias("raw"))
+    return parse_lines(lines, TimeContext(0, "UTC", 1720569600 * 10**9)).select("event_id", "time_utc_ns", "time_quality", "time_year")
+
+
+def dst_gap(spark, sf_dir):
+    """Wall times of the two days of 2024 on which Berlin changes its clocks."""
+    n = F.col("event_id")
+    line = F.concat(F.when(n % 2 == 0, F.lit("Mar 31 ")).otherwise(F.lit("Oct 27 ")), F.format_string("%02d:%02d:%02d", n % 24, n % 59, n % 53), F.lit(" mx-1 postfix/smtp[7]: hello"))
+    return _parsed(spark, sf_dir, line, TimeContext(2024, "Europe/Berlin")).select("event_id", "time_utc_ns", "time_quality")
+
+
+def comma_fields(spark, sf_dir):
+    line = F.concat(F.lit("Jan 12 03:04:05 mx-1 postfix/smtp[7]: A1B2C3: "), _cases(
+        'to=<"a,b"@example.net>, relay=peer[192.0.2.1,x]:25, conn_use=(2, 3), delay={n}, status=deferred (host said: 450 (try, later))',
+        "to=<first@example.net>, to=<second@example.net>, delay={n}, status=sent (250 ok), relay=late",
+        "delay={n}, 1x=5, to=<open, status=sent",
+        '"quoted, \\" still, relay=1", delay={n}',
+    ))
+    p = _parsed(spark, sf_dir, line)
+    return p.select("event_id", "kind", *[field(x).alias(x) for x in ("to", "relay", "conn_use", "delay", "status", "reply")])
+
+
+def space_fields(spark, sf_dir):
+    line = F.concat(F.lit("Jan 12 03:04:05 mx-1 postfix/pickup[7]: A1B2C3: "), _cases('uid={n} from=<a b;c@example.org>;y="q r" z=', 'uid={n}, uid=9 1x=2 y="open', "y=<open uid={n}"))
+    return _parsed(spark, sf_dir, line).select("event_id", "kind", *[field(x).alias(x) for x in ("uid", "from", "y", "z")])
+
+
+def reject_metadata(spark, sf_dir):
+    head = "NOQUEUE: reject: RCPT from h[192.0.2.1]: 554 5.7.1 <b>: no"
+    line = F.concat(F.lit("Jan 12 03:04:05 mx-1 postfix/smtpd[7]: "), _cases(
+        head + "; from=<u{n}@example.org> to=<b@example.net> proto=ESMTP helo=<h {n}>",
+        head + "; from=<> to=<b{n}@example.net> proto=SMTP",
+        head + "; from=<a@example.org> to=<b@example.net> proto=ESMTP helo=h{n}",
+        head + "; from=<a@example.org> said; from=<a@example.org> to=<b@example.net> proto=ESMTP",
+        head + "; from=<a@example.org> to=<b@example.net> proto=ESMTP helo=h{n}; more",
+    ))
+    return _parsed(spark, sf_dir, line).select("event_id", "kind", "no_queue", *[field(x).alias(x) for x in ("from", "to", "proto", "helo")])
+
+
 def timeline_page(spark, sf_dir):
     rows = positioned(assigned(_facts(spark, sf_dir)).where("reason = 'resolved'"))
     return rows.where(F.col("position").between(2, 4)).select("start_offset", "position")
@@ -233,6 +344,18 @@ def queue_id_grammar(spark, sf_dir):
     return words.where(is_queue_id(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def field_key_grammar(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("word"))
+    return words.where(is_field_key(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ns_range(spark, sf_dir):
+    n = F.col("event_id")
+    near = F.when(n % 2 == 0, F.lit("9223372036.85477580")).otherwise(F.lit("-9223372036.85477580"))
+    seconds = F.when(n % 10 < 8, F.concat((n * 1000003 % 20000000000 - 10000000000).cast("string"), F.lit(".5"))).otherwise(F.concat(near, (n % 9 + 1).cast("string")))
+    return _t(spark, sf_dir, "events").select("event_id", fits_nanoseconds(seconds).alias("fits"))
+
+
 def left_join_checkpoints(spark, sf_dir):
     _, marks, origins, _ = _retention(spark, sf_dir)
     return with_marks(origins, marks.where("origin_id = 'org-0'")).select("source_id", "origin_id", "state", "offset")

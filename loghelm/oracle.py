@@ -192,5 +192,43 @@ SELECT doc_id, w AS word, CASE WHEN len(w) - len(replace(w, '@', '')) = 1 AND NO
     "contiguity_check": f"WITH {facts()} SELECT source_id, origin_id, start_offset, expected FROM (SELECT *, coalesce(lag(end_offset) OVER (PARTITION BY source_id, origin_id ORDER BY start_offset), 0) AS expected FROM f) WHERE expected <> start_offset",
     "import_origin_ids": f"SELECT doc_id, 'import-v1:' || sha256({' || '.join(_frame(x) for x in (chr(39) + 'import-origin' + chr(39), 'source', 'sha256(text)'))}) AS origin_id FROM documents",
     "utf8_wire": "SELECT doc_id, 'utf8' AS encoding, text AS value FROM documents",
+    "search_more": f"WITH {facts()} SELECT event_id, t AS time_utc_ns FROM f WHERE address = 'r3@example.net' AND {PAGE} ORDER BY t, event_id LIMIT 21",
+    "continuity_chain": f"""WITH {facts()}, o AS (SELECT DISTINCT source_id, day(to_timestamp(t / 1000000000) AT TIME ZONE 'UTC') AS d FROM f WHERE t IS NOT NULL),
+x AS (SELECT *, d <= 10 AS a, d BETWEEN 11 AND 20 AS b FROM o),
+y AS (SELECT source_id, d, min(d) OVER w AS head, count(*) OVER w AS n, row_number() OVER (PARTITION BY source_id, a, b ORDER BY d) - 1 AS place FROM x WINDOW w AS (PARTITION BY source_id, a, b))
+SELECT source_id, printf('d%02d', head) AS head, CAST(place AS INTEGER) AS place, printf('d%02d', d) AS origin_id FROM y WHERE n > 1""",
+    "asof_last_boundary": f"""WITH {EVENTS}, f AS (SELECT event_id * 128 AS start_offset, CAST(u AS VARCHAR) AS pid, event_type IN ('signup', 'error') AS edge, CASE WHEN u % 10 = 0 THEN event_id % 2 ELSE 0 END AS org FROM e),
+s AS (SELECT *, max(CASE WHEN edge THEN start_offset END) OVER (PARTITION BY pid, org ORDER BY start_offset) AS open_start FROM f) SELECT start_offset, pid, open_start FROM s WHERE NOT edge""",
+    "expirations": cycles().replace("event_type IN ('signup', 'view') AS receipt", "event_type IN ('signup', 'view') AND NOT (event_type = 'view' AND event_id % 11 = 0) AS receipt") + f" SELECT {_KEY}, count(*) FILTER (WHERE et = 'view' AND event_id % 11 = 0) AS expiration_reports FROM a WHERE reason = 'resolved' GROUP BY ALL",
+    "other_facts": f"WITH {facts()} SELECT source_id, origin_id, start_offset FROM f WHERE event_id % 13 = 0",
+    "candidate_timeline": cycles() + """ SELECT CAST(start_offset AS VARCHAR) AS start_offset, n AS position, CASE WHEN removed THEN 'removed' WHEN delivery THEN 'delivery' ELSE 'message' END AS kind,
+  CASE et WHEN 'signup' THEN 'cleanup' WHEN 'click' THEN 'smtp' WHEN 'purchase' THEN 'local' ELSE 'qmgr' END AS service
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY instance, queue_id, source_id, origin_id, cycle ORDER BY place) - 1 AS INTEGER) AS n FROM a WHERE reason = 'resolved' AND instance = 'mx-1' AND queue_id IN ('A000102', 'A003105')) WHERE n < 3""",
+    "rfc5424_lines": f"""WITH {EVENTS}, l AS (
+  SELECT event_id, event_id % 200 > 191 AS bad, event_id % 31 = 0 AS broken,
+    (us - CASE WHEN event_id % 7 = 0 THEN us % 1000000 ELSE 0 END - CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 7200000000 ELSE -19800000000 END) * 1000 AS t,
+    CASE event_id % 3 WHEN 0 THEN '+00:00' WHEN 1 THEN '+02:00' ELSE '-05:30' END AS z FROM e)
+SELECT event_id, CASE WHEN NOT bad THEN t END AS time_utc_ns, CASE WHEN bad THEN 'unknown' ELSE 'explicit_offset' END AS time_quality, CASE WHEN bad THEN '' ELSE z END AS time_zone,
+  CASE WHEN bad OR broken THEN '' ELSE 'hello ' || event_id END AS message,
+  CASE WHEN bad THEN 'invalid_syslog_envelope' WHEN broken THEN 'invalid_syslog_structured_data' ELSE '' END AS parse_error FROM l""",
+    "nearest_year": f"""WITH {EVENTS}, w AS (SELECT event_id, make_timestamp((us // 1000000) * 1000000) AS w FROM e),
+y AS (SELECT event_id, y, epoch_us(w + to_years(CAST(y - 2024 AS INTEGER))) // 1000000 AS s FROM w, (VALUES (2023), (2024), (2025)) v(y)),
+b AS (SELECT event_id, arg_min(s, abs(s - 1720569600)) AS s, arg_min(y, abs(s - 1720569600)) AS y FROM y GROUP BY event_id)
+SELECT event_id, s * 1000000000 AS time_utc_ns, 'inferred_year_and_zone' AS time_quality, CAST(y AS INTEGER) AS time_year FROM b""",
+    "dst_gap": """WITH l AS (SELECT event_id, event_id % 2 = 0 AS spring, event_id % 24 AS h, (event_id % 24) * 3600 + (event_id % 59) * 60 + event_id % 53 AS s FROM events)
+SELECT event_id, CASE WHEN spring AND h = 2 THEN NULL WHEN spring THEN 1711843200 + s - CASE WHEN h < 2 THEN 3600 ELSE 7200 END ELSE 1729987200 + s - CASE WHEN h < 3 THEN 7200 ELSE 3600 END END * 1000000000 AS time_utc_ns,
+  CASE WHEN spring AND h = 2 THEN 'year_without_zone' ELSE 'configured_year_and_zone' END AS time_quality FROM l""",
+    "comma_fields": """SELECT event_id, CASE WHEN v < 2 THEN 'delivery' ELSE 'message' END AS kind,
+  CASE v WHEN 0 THEN '"a,b"@example.net' WHEN 1 THEN 'first@example.net' WHEN 2 THEN '<open, status=sent' END AS "to", CASE v WHEN 0 THEN 'peer[192.0.2.1,x]:25' END AS relay,
+  CASE v WHEN 0 THEN '(2, 3)' END AS conn_use, CAST(event_id AS VARCHAR) AS delay, CASE v WHEN 0 THEN 'deferred' WHEN 1 THEN 'sent' END AS status,
+  CASE v WHEN 0 THEN 'host said: 450 (try, later)' WHEN 1 THEN '250 ok' END AS reply FROM (SELECT event_id, event_id % 4 AS v FROM events)""",
+    "space_fields": """SELECT event_id, 'message' AS kind, CASE WHEN v < 2 THEN CAST(event_id AS VARCHAR) END AS uid, CASE v WHEN 0 THEN 'a b;c@example.org' END AS "from",
+  CASE v WHEN 0 THEN '"q r"' END AS y, CAST(NULL AS VARCHAR) AS z FROM (SELECT event_id, event_id % 3 AS v FROM events)""",
+    "reject_metadata": """SELECT event_id, 'reject' AS kind, TRUE AS no_queue, CASE v WHEN 0 THEN 'u' || event_id || '@example.org' WHEN 1 THEN '' WHEN 2 THEN 'a@example.org' END AS "from",
+  CASE v WHEN 0 THEN 'b@example.net' WHEN 1 THEN 'b' || event_id || '@example.net' WHEN 2 THEN 'b@example.net' END AS "to", CASE v WHEN 0 THEN 'ESMTP' WHEN 1 THEN 'SMTP' WHEN 2 THEN 'ESMTP' END AS proto,
+  CASE v WHEN 0 THEN 'h ' || event_id WHEN 2 THEN 'h' || event_id END AS helo FROM (SELECT event_id, event_id % 5 AS v FROM events)""",
+    "field_key_grammar": "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z][A-Za-z0-9_-]{0,31}') GROUP BY w",
+    "ns_range": """SELECT event_id, CASE WHEN event_id % 10 < 8 THEN ns BETWEEN -9223372036854775808 AND 9223372036854775807 WHEN event_id % 2 = 0 THEN event_id % 9 + 1 <= 7 ELSE event_id % 9 + 1 <= 8 END AS fits
+FROM (SELECT event_id, (event_id * 1000003 % 20000000000 - 10000000000) AS s, s::HUGEINT * 1000000000 + CASE WHEN s < 0 THEN -500000000 ELSE 500000000 END AS ns FROM events)""",
     "conversation_pages": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n BETWEEN 2 AND 3",
 }
