@@ -35,7 +35,7 @@ from loghelm.llm.common import Scratch, text_or_empty
 
 RANGE_DOCS = 2048
 TASK_DOCS = 4 * RANGE_DOCS
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordTokenizer:
@@ -339,7 +339,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
                             c.append(x)
                     nth += 1
         out = pd.DataFrame(dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "nth"), cols, strict=True)))
-        out["doc_id"] = out["doc_id"].astype("Int64")
         if len(out):
             yield _place(out.drop(columns="nth"), capacity, 0) if order_col is None else _place_in_order(out, capacity, loose, range_docs)
 
@@ -350,14 +349,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
             if len(whole):
                 yield _place(whole, capacity, 1)
 
-    scratch = Scratch(docs.sparkSession)
+    # ids pass through pandas as text: as floats, a null beside them would cost digits
+    scratch, number = Scratch(docs.sparkSession), F.col("doc_id").cast("long")
     if order_col is not None:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(order_col).alias("at"))
+        rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(order_col).alias("at"))
         # kept before it is dealt: finding the bounds of ranges would work the order out once more
         rows = scratch.keep(rows)
         n = max(1, math.ceil(rows.count() / TASK_DOCS))
-        return rows.repartitionByRange(n, "at").sortWithinPartitions("at").select("doc_id", "text").mapInPandas(first, PIECES)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        return rows.repartitionByRange(n, "at").sortWithinPartitions("at").select("doc_id", "text").mapInPandas(first, PIECES).withColumn("doc_id", number)
+    read = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     placed = scratch.keep(read.mapInPandas(first, PIECES))
     fill = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     loose_bins = scratch.keep(fill.where(F.col("fill") <= capacity - loose).select("sequence_id"))
@@ -365,4 +365,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     opened = placed.join(loose_bins, "sequence_id", "left_semi").select(*placed.columns)
     n = max(1, math.ceil(opened.count() / group))
     packed = opened.repartition(n).mapInPandas(again, PIECES)
-    return tight.unionByName(packed)
+    return tight.unionByName(packed).withColumn("doc_id", number)

@@ -499,3 +499,13 @@ def brute_join_rows(rows, width, num, den):
     for i, _, c in marked:
         least[c] = min(least.get(c, rows[i][0]), rows[i][0])
     return [(rows[i][0], n, least[c]) for i, n, c in sorted(marked)]
+
+
+def test_large_ids_beside_null_ids_keep_their_digits(spark):
+    big = 2**53 + 1
+    rows = docs(spark, [(big, "one two three four five"), (big + 1, "six seven eight nine ten"), (None, "eleven"), (big + 2, None)]).coalesce(1)
+    ids = {None, big, big + 1, big + 2}
+    assert {r.doc_id for r in with_classes(rows).collect()} == ids
+    assert {r.doc_id for r in pack_documents(rows, q.tokenizer_path(), capacity=4, loose=1).collect()} == ids
+    placed = pack_documents(rows.withColumn("place", F.monotonically_increasing_id()), q.tokenizer_path(), order_col="place")
+    assert {r.doc_id for r in placed.collect()} == ids
