@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over whole tables, and their SQL where SQL can express them."""
+"""The queries op1_ to op13_ over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from loghelm.llm.bitslice_topk import bitsliced_topk
 from loghelm.llm.language_id import identify_language, learn_languages
 from loghelm.llm.ngram_join import with_classes
 from loghelm.llm.packing import pack_documents
+from loghelm.llm.periodic_runs import periodic_runs, planted, run_digests
 from loghelm.llm.permutation_ann import permutation_ann
 from loghelm.llm.quality import quality_scores
 from loghelm.llm.secret_scan import secret_scan
@@ -71,12 +72,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL}
+    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL, "op13_periodic_runs": OP13_SQL}
 
 
 OP1_SQL = """
@@ -116,3 +121,43 @@ p AS (
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    fed = f"list_reduce(range(8), lambda c, k: {step}, xor(b, CAST(ascii(x) AS BIGINT)))"
+    return f"xor(list_reduce(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda b, x: {fed}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), m AS (
+  SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS d FROM t
+), v AS (
+  SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+      THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END])
+      ELSE w END AS w
+  FROM m
+), s AS (SELECT row, n, unnest(range(n)) AS i, unnest(w) AS x FROM v),
+p AS (
+  SELECT a.row, a.i, b.i - a.i AS q FROM s a JOIN s b ON a.row = b.row AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), g AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS isle FROM p),
+e AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY row, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT row, start, length, min(q) AS period FROM e GROUP BY row, start, length),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT s.row, string_agg(x, ' ' ORDER BY s.i) AS text FROM s ANTI JOIN gone ON s.row = gone.row AND s.i = gone.i GROUP BY s.row),
+best AS (
+  SELECT x.* FROM r x WHERE NOT EXISTS (
+    SELECT 1 FROM r y WHERE y.row = x.row AND (y.length * x.period > x.length * y.period
+      OR (y.length * x.period = x.length * y.period AND (y.start < x.start OR (y.start = x.start AND y.period < x.period)))))
+), told AS (
+  SELECT row, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY row
+)
+SELECT v.doc_id, coalesce(told.n, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(told.lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM v LEFT JOIN told ON told.row = v.row LEFT JOIN best ON best.row = v.row LEFT JOIN kept ON kept.row = v.row
+"""
