@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghelm.llm.bitslice_topk import bitsliced_topk
+from loghelm.llm.conversation_repair import repair_digests
 from loghelm.llm.language_id import identify_language, learn_languages
 from loghelm.llm.ngram_join import with_classes
 from loghelm.llm.packing import pack_documents
@@ -72,16 +73,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets, op12_conversation_repair, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL, "op12_conversation_repair": OP12_SQL, "op13_periodic_runs": OP13_SQL}
 
 
 OP1_SQL = """
@@ -130,6 +135,76 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda b, x: {fed}, CAST(4294967295 AS BIGINT)), 4294967295)"
 
 
+def _edited(state: str, cost: int | str, letter: str, line: str) -> str:
+    """A state's text (cost of 9 digits, audit, chr(1), lines) with an edit before it."""
+    at = f"instr({state}, chr(1))"
+    return f"lpad(CAST(CAST(left({state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({state}, 10, {at} - 9) || {line} || substr({state}, {at} + 1)"
+
+
+def _repair_step_sql() -> tuple[str, str]:
+    """(the four states after the options of a turn, and after turns inserted before it)."""
+    keeps = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    free, role = (2, 2, 3, 2), {2: "user", 3: "assistant"}
+    kept_line, end = "role || ':' || text || chr(10)", "chr(10)"
+    taken, opened = [], []
+    for q in range(4):
+        options = [_edited(f"s{q}", 3, "D", "''")]
+        options += [f"CASE WHEN NOT gone AND initial = '{c}' THEN {_edited(f's{to}', 'cut', 'K', kept_line)} END" for c, to in keeps[q].items()]
+        now = role[free[q]] + ":"
+        options.append(f"CASE WHEN NOT gone THEN {_edited(f's{free[q]}', '2 + cut', 'R', f"'{now}' || text || {end}")} END")
+        taken.append(f"least({', '.join(options)}) AS s{q}")
+        once = _edited(f"s{free[q]}", 2, "I", f"'{now}' || {end}")
+        second = free[free[q]]
+        twice = _edited(f"({_edited(f's{second}', 2, 'I', f"'{role[second]}:' || {end}")})", 2, "I", f"'{now}' || {end}")
+        opened.append(f"least(s{q}, {once}, {twice}) AS s{q}")
+    return ", ".join(taken), ", ".join(opened)
+
+
+_TAKEN, _OPENED = _repair_step_sql()
+_TRIMMED = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP12_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h
+  FROM conversations
+), damaged AS (
+  SELECT g, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src WHERE h <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), placed AS (
+  SELECT g, turn, role, text, i, left(role, 1) AS initial, right({_TRIMMED}, 1) AS ending,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS seen
+  FROM ordered
+), faults AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND seen > 1 AS again,
+         CASE WHEN ending NOT IN ('', '.', '!', '?') AND seen = 1 THEN 1 ELSE 0 END AS cut, ending = '' OR seen > 1 AS gone,
+         lag(initial) OVER (PARTITION BY g ORDER BY i) || initial AS pair
+  FROM placed
+), told AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again) AS duplicate, sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY g
+), walk AS (
+  SELECT g, n AS i, '000000000' || chr(1) AS s0, '000000004II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10) AS s1,
+         '000000002I' || chr(1) || 'assistant:' || chr(10) AS s2, '000000000' || chr(1) AS s3
+  FROM told
+  UNION ALL
+  SELECT g, i, {_OPENED}
+  FROM (SELECT w.g, w.i - 1 AS i, {_TAKEN} FROM walk w JOIN faults f ON f.g = w.g AND f.i = w.i WHERE w.i >= 1)
+), done AS (
+  SELECT g, CAST(left(s0, 9) AS BIGINT) AS cost, substr(s0, 10, instr(s0, chr(1)) - 10) AS audit, substr(s0, instr(s0, chr(1)) + 1) AS lines
+  FROM walk WHERE i = 0
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(CASE WHEN coalesce(lines, '') = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM src) o LEFT JOIN told ON told.g = o.g LEFT JOIN done ON done.g = o.g
+"""
+
 OP13_SQL = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS row, doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
