@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghelm.llm.bitslice_topk import bitsliced_topk
+from loghelm.llm.common import Scratch
 from loghelm.llm.conversation_repair import repair_digests
 from loghelm.llm.language_id import identify_language, learn_languages
 from loghelm.llm.ngram_join import with_classes
@@ -19,6 +20,7 @@ from loghelm.llm.secret_scan import secret_scan
 from loghelm.llm.source_mix import mix_sources
 from loghelm.llm.suffix_dedup import suffix_dedup
 from loghelm.llm.toxicity import learn_grammar, toxicity_scores
+from loghelm.llm.warc import archive_digests, read_warc, write_warc
 
 
 def tokenizer_path() -> str:
@@ -73,6 +75,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark).root
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    return archive_digests(read_warc(spark, folder, payloads=False))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(_table(spark, sf_dir, "conversations"))
 
@@ -82,11 +90,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets, op12_conversation_repair, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_ngram_join, op3_quality, op4_permutation_ann, op5_source_mix, op6_toxicity, op7_language_id, op8_suffix_dedup, op9_packing, op10_secrets, op11_warc, op12_conversation_repair, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL, "op12_conversation_repair": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op1_bitslice_topk": OP1_SQL, "op2_ngram_join": OP2_SQL, "op11_warc": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_periodic_runs": OP13_SQL}
 
 
 OP1_SQL = """
@@ -128,6 +136,19 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 
 
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) END AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
+
+
 def _crc32_sql(text: str) -> str:
     """CRC-32 of an ASCII text, bit by bit."""
     step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
