@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghelm.functions.facts import is_queued, is_receipt, is_removal, usable_time
+from loghelm.operators.origin_order import ordered
 from loghelm.schema import MAX_FACTS, QUEUE, REF, STREAM, RefusedError, field
 
 
 def provenance_faults(facts: DataFrame) -> DataFrame:
     """One row per fault: missing identity, bad offsets, overlap, or an origin of two instances.
 
-    Overlap needs the previous row of an origin only, so it is one window over the origin; the
+    Overlap needs the previous row of an origin only, which ranges of the origin carry on; the
     instance test is a plain aggregation with partial combining.
     """
-    w = Window.partitionBy("source_id", "origin_id").orderBy("start_offset", "end_offset")
-    rows = facts.select(*REF, "instance").withColumn("previous_end", F.lag("end_offset").over(w))
+    rows = ordered(facts.select(*REF, "instance"))
     blank = F.lit(False)
     for c in ("source_id", "origin_id", "instance"):
         blank = blank | F.coalesce(F.col(c) == "", F.lit(True))

@@ -8,10 +8,11 @@ crash leaves a running row that tells exactly how far the run came.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from loghelm.functions.scalars import import_origin_id
+from loghelm.operators.origin_order import ordered
 from loghelm.schema import RefusedError
 
 CHECKPOINTS = "source_id string, origin_id string, offset long, anchor string"
@@ -22,9 +23,8 @@ ORIGIN = ["source_id", "origin_id"]
 def gaps(records: DataFrame, after: int = 0) -> DataFrame:
     """Records that don't start at `expected`: where the one before them in their origin ends, or
     at `after` for the first."""
-    w = Window.partitionBy(*ORIGIN).orderBy("start_offset")
-    rows = records.withColumn("expected", F.coalesce(F.lag("end_offset").over(w), F.lit(after).cast("long")))
-    return rows.where(F.col("expected") != F.col("start_offset"))
+    rows = ordered(records).withColumn("expected", F.coalesce("previous_end", F.lit(after).cast("long")))
+    return rows.where(F.col("expected") != F.col("start_offset")).drop("previous_end", "place")
 
 
 def with_marks(origins: DataFrame, checkpoints: DataFrame) -> DataFrame:
