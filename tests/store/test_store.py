@@ -13,6 +13,7 @@ from loghelm.sources.mail_lines import parse_lines
 from loghelm.operators.identity import revision
 from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
 from loghelm.store.imports import ImportAttempt
+from loghelm.store.snapshots import Change
 from loghelm.streaming.ingest import ingest, read_log
 from tests.helpers import CTX, INBOUND, facts
 
@@ -47,12 +48,12 @@ def test_commit_twice_collide_and_purge(spark, tmp_path):
     store.commit(df, origins=spark.createDataFrame([(*file, "retired")], ORIGINS))
     assert store.purge_retention("mx-b", later).purged == 0
     refused("invalid_instance", store.purge_retention, "", later)
-    before = store.snapshots.current().tables["facts"]
+    before = store.snapshots.current().paths("facts")
     other_file = facts(spark, INBOUND, origin="other", instance="mx-c")
     store.commit(other_file)
     got = store.purge_retention("mx-a", later)
-    assert set(store.snapshots.current().tables["facts"]) & set(before) == set()
-    assert len(store.snapshots.current().tables["facts"]) == 2
+    assert set(store.snapshots.current().paths("facts")) & set(before) == set()
+    assert len(store.snapshots.current().paths("facts")) == 2
     store_rows = store.facts().where("instance = 'mx-c'").count()
     assert store_rows == 7
     assert (got.purged, got.more, got.invalidated) == (3, False, 1) and store.facts().where("instance = 'mx-a'").count() == 4
@@ -67,7 +68,9 @@ def test_two_writers_conflict(spark, tmp_path):
     a, b = FactStore(spark, str(tmp_path / "s")), FactStore(spark, str(tmp_path / "s"))
     base = b.snapshots.current()
     a.commit(facts(spark, INBOUND))
-    refused("conflict", b.snapshots.publish, base, {})
+    mark = frozenset(['origin:["src", "org"]'])
+    refused("conflict", b.snapshots.publish, lambda at: Change(touch=mark), base)
+    assert b.snapshots.put(base, Change(touch=mark)) is None
 
 
 def test_finite_imports(spark, tmp_path):
