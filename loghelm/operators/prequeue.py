@@ -31,12 +31,18 @@ def prequeue_reports(facts: DataFrame) -> DataFrame:
     )
 
 
-def _segments(facts: DataFrame) -> DataFrame:
-    """Boundary and report rows, numbered by the boundaries before them in physical order."""
+def session_rows(facts: DataFrame) -> DataFrame:
+    """Boundary rows (with `edge`) and report rows (with `action`), with instant and client."""
     rows = facts.withColumn("action", prequeue_action())
     bound = (F.col("service") == "smtpd") & F.col("kind").isin("connect", "disconnect") & (F.col("pid") != "")
     rows = rows.withColumn("edge", F.when(bound, F.col("kind"))).where(F.col("edge").isNotNull() | F.col("action").isNotNull())
     rows = rows.withColumns({"t": usable_time(), "client": F.when(F.col("edge").isNotNull(), boundary_client()).otherwise(report_client(F.col("action")))})
+    return rows.select(*ACTOR, "start_offset", "end_offset", "edge", "action", "client", "t")
+
+
+def _segments(facts: DataFrame) -> DataFrame:
+    """Session rows, numbered by the boundaries before them in physical order."""
+    rows = session_rows(facts)
     w = Window.partitionBy(*ACTOR).orderBy("start_offset")
     return rows.withColumn("segment", F.count("edge").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
