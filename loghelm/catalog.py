@@ -23,13 +23,15 @@ from loghelm.plans.cursors import SearchCursor
 from loghelm.plans.detail import candidates, positioned, timeline
 from loghelm.plans.projection import build_projection
 from loghelm.plans.scope import facts_in_scope
-from loghelm.plans.search import SearchQuery, search_plan, searchable
+from loghelm.plans.search import SearchQuery
 from loghelm.schema import DAY_NS, GENERATION, STREAM, field
 from loghelm.sources.envelope import TimeContext
 from loghelm.sources.mail_lines import parse_lines
 from loghelm.store.imports import gaps, runs_with_marks, with_marks
 from loghelm.store.replay import outcomes, purge_digest
 from loghelm.store.retention import covered, purgeable
+from loghelm import stored
+from loghelm.stored import event_store
 from loghelm.views import event_columns, event_facts, event_sessions
 
 JANUARY = (1704067200 * 10**9, 1706745600 * 10**9)
@@ -108,7 +110,7 @@ def _search(spark, sf_dir, name, value, limit, cursor=None):
 
 
 def _page(spark, sf_dir, q):
-    plan = search_plan(searchable(_facts(spark, sf_dir)), q, with_limit=False)
+    plan = event_store(spark, sf_dir).search_plan(q, with_limit=False)
     return plan.limit(q.limit).select("event_id", "time_utc_ns", "start_offset", "queue_id")
 
 
@@ -127,9 +129,9 @@ def search_page_2(spark, sf_dir):
 
 
 def search_all_fields(spark, sf_dir):
-    stored = searchable(_facts(spark, sf_dir))
+    store = event_store(spark, sf_dir)
     asked = (("sender", "u1@example.org"), ("recipient", ""), ("queue_id", "A000102"), ("message_id", "m1-0@example.org"), ("sender_domain", "example.org"), ("recipient_domain", "example.net"))
-    parts = [search_plan(stored, _search(spark, sf_dir, n, v, 1), with_limit=False).agg(F.lit(n).alias("field"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids")) for n, v in asked]
+    parts = [store.search_plan(_search(spark, sf_dir, n, v, 1), with_limit=False).agg(F.lit(n).alias("field"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids")) for n, v in asked]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -139,7 +141,7 @@ def search_all_fields(spark, sf_dir):
 def search_more(spark, sf_dir):
     """A page and the row after it, which tells that there is more."""
     q = _search(spark, sf_dir, "recipient", "r3@example.net", 20)
-    return search_plan(searchable(_facts(spark, sf_dir)), q).select("event_id", "time_utc_ns")
+    return event_store(spark, sf_dir).search_plan(q).select("event_id", "time_utc_ns")
 
 
 def origin_overlap(spark, sf_dir):
@@ -388,8 +390,8 @@ def conversation_pages(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in ORACLE}
+    return {name: globals()[name] for name in ORACLE} | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | stored.oracle_sql()
