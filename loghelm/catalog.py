@@ -92,7 +92,7 @@ def queue_hints(spark, sf_dir):
 def queue_links(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     bindings = [(f"mx-{i}", "peer[192.0.2.1]:25", f"mx-{i}") for i in range(3)]
-    out = links(facts, assigned(facts), DAY_NS, bindings)
+    out = links(facts, DAY_NS, bindings)
     return out.select("start_offset", "instance", "queue_id", "target_queue_id", F.coalesce("reason", "state").alias("result"), F.col("target_generation.cycle").alias("target_cycle"), F.col("non_explicit_time"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,23 @@ def _choose(mapping: dict[str, str], key: Column) -> Column:
     return out
 
 
+@cache
 def _clean() -> Column:
     return ~F.col("no_queue") & (F.col("queue_id") != "") & (F.col("parse_error") == "")
 
 
+@cache
 def is_queued() -> Column:
     return _clean() & F.col("kind").isin(*QUEUED_KINDS)
 
 
+@cache
 def usable_time() -> Column:
     """Instant in nanoseconds where its quality may order events, else NULL."""
     return F.when(F.col("time_quality").isin(*ORDERING_QUALITIES), F.col("time_utc_ns"))
 
 
+@cache
 def is_receipt() -> Column:
     s = F.col("service")
     has = lambda n: field(n).isNotNull()
@@ -41,6 +47,7 @@ def is_receipt() -> Column:
     )
 
 
+@cache
 def is_removal() -> Column:
     return F.col("kind") == "removed"
 
@@ -56,11 +63,13 @@ def native_reply_is(status: Column, reply: Column) -> Column:
     return F.coalesce(F.col("native_status_field") == F.concat(status, F.lit(" ("), reply, F.lit(")")), F.lit(False))
 
 
+@cache
 def projects_delivery() -> Column:
     """Whether the fact is a delivery report that projects."""
     return _clean() & (F.col("kind") == "delivery") & F.col("service").isin(*DELIVERY_SCOPES) & field("to").isNotNull() & field("status").isNotNull()
 
 
+@cache
 def delivery() -> Column:
     """struct of one delivery report; meaningful where projects_delivery() holds."""
     native, reply, service = field("status"), field("reply"), F.col("service")
@@ -79,10 +88,12 @@ def delivery() -> Column:
     )
 
 
+@cache
 def is_expiration() -> Column:
     return _clean() & (F.col("kind") == "message") & (F.col("service") == "qmgr") & F.coalesce(field("status") == "expired", F.lit(False)) & native_status_is(F.lit("expired"))
 
 
+@cache
 def prequeue_action() -> Column:
     """'reject' or 'reject_warning' for a report before any queue, else NULL."""
     m = F.col("message")
@@ -90,6 +101,7 @@ def prequeue_action() -> Column:
     return F.when(ok & m.startswith("reject:"), F.lit("reject")).when(ok & m.startswith("reject_warning:"), F.lit("reject_warning"))
 
 
+@cache
 def boundary_client() -> Column:
     """The client named by a connect or disconnect line, '' where none is."""
     m = F.col("message")
@@ -107,6 +119,7 @@ def report_client(action: Column) -> Column:
     return literal_client(named)
 
 
+@cache
 def queue_hint() -> Column:
     """struct<kind, target_queue_id, target_instance, relay, native_proof>, NULL where none."""
     m, note = F.col("message"), field("notification_queue_id")

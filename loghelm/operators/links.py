@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.functions.facts import is_queued, queue_hint, usable_time
+from loghelm.functions.facts import delivery, is_queued, projects_delivery, queue_hint, usable_time
+from loghelm.operators.generations import assigned
 from loghelm.operators.partition import message_id
-from loghelm.operators.recipients import attempts
 from loghelm.schema import GENERATION, MAX_BINDINGS, MAX_LINK_WINDOW_NS, QUEUE, REF, RefusedError, field
 
 KNOWN = ("sent", "delivered", "deferred", "bounced")
@@ -31,88 +31,103 @@ def check_options(window_ns: int, bindings: Sequence[tuple[str, str, str]]) -> N
         raise RefusedError("invalid_link_options", "bindings")
 
 
-def _claims(rows: DataFrame) -> DataFrame:
-    """Per generation: its extremes and flags, and its sender and message id where observed values
-    agree, else NULL; one aggregation."""
+def _queues(rows: DataFrame) -> DataFrame:
+    """One row per queue: `doubt`, whether a stream of it was refused, and its generations (`gens`),
+    each with its extremes and flags, its sender and message id where observed values agree (else
+    NULL), the facts that prove them, its hints, and the deliveries that it reports as known.
+
+    All is nested in the key of the queue, by which the rows are partitioned already. Both
+    sides of the links read the exchange at the end, so nothing here may tell them apart: no
+    lambda is used before it, and the filters that either side implies are stated.
+    """
+    resolved = F.col("reason") == "resolved"
     sender = F.when((F.col("service") == "qmgr") & (F.col("kind") == "message"), field("from"))
-    r = rows.where(F.col("reason") == "resolved").withColumns({"sender": sender, "mid": message_id()})
+    d = delivery()
+    known = F.when(resolved & projects_delivery() & d["status"].isin(*KNOWN), F.struct(d["recipient"].alias("address"), F.struct(*REF).alias("proof")))
+    r = rows.withColumns({"sender": sender, "mid": message_id(), "known": known, "h": F.when(F.col("kind").isin("bounce", "delivery"), queue_hint())})
+    hint = F.when(F.col("h").isNotNull(), F.struct(*REF, "t", field("to").alias("recipient"), "h"))
 
     def agreed(c: str):
-        return F.when(F.min(c) == F.max(c), F.min(c))
+        return F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
 
-    return r.groupBy(*GENERATION).agg(
+    place = F.struct("place", *REF)
+    per = r.groupBy(*GENERATION, "reason").agg(
         F.min("t").alias("first_t"),
-        F.max("receipt").alias("receipt_observed"),
-        F.max(F.col("time_quality") != "explicit_offset").alias("non_explicit_time"),
-        F.first("cross_stream").alias("cross_stream_uncertain"),
-        agreed("sender").alias("sender"),
-        agreed("mid").alias("message_id"),
-        F.coalesce(F.min("mid") != F.max("mid"), F.lit(False)).alias("message_ids_differ"),
-        F.min(F.when(F.col("sender").isNotNull(), F.struct("place", *REF))).alias("p1"),
-        F.min(F.when(F.col("mid").isNotNull(), F.struct("place", *REF))).alias("p2"),
-    ).select("*", F.transform(F.array_compact(F.array("p1", "p2")), lambda p: p.dropFields("place")).alias("proofs")).drop("p1", "p2")
-
-
-def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+        F.max("receipt").alias("receipt"),
+        F.max(F.col("time_quality") != "explicit_offset").alias("non_explicit"),
+        F.first("cross_stream").alias("cross"),
+        agreed("sender"),
+        agreed("mid"),
+        F.coalesce(F.min("mid") != F.max("mid"), F.lit(False)).alias("mids_differ"),
+        F.array_compact(F.array(F.min(F.when(F.col("sender").isNotNull(), place)), F.min(F.when(F.col("mid").isNotNull(), place)))).alias("proofs"),
+        F.collect_list(hint).alias("hints"),
+        F.collect_list("known").alias("deliveries"),
+    )
+    gen = F.struct(F.struct(*GENERATION).alias("gid"), *[c for c in per.columns if c not in GENERATION])
+    per = per.where(F.col("instance").isNotNull() & F.col("queue_id").isNotNull())
+    # an exchange by the whole key would be left out, as the rows lie by it already
+    return per.groupBy(*QUEUE).agg(F.max(~resolved).alias("doubt"), F.collect_list(gen).alias("gens")).repartition("queue_id")
+
+
+def links(facts: DataFrame, window_ns: int, bindings: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """One row per hint: state, reason, source and target generations, and evidence.
 
-    `rows` are the assigned facts. Bindings (instance, relay, target instance) are a checked
-    handful and are broadcast; every other join is on queue or generation keys.
+    Only the queues that a hint is of or points to are assigned to generations, once. Bindings
+    (instance, relay, target instance) are a checked handful and are broadcast; every other join
+    is on queue keys.
     """
     check_options(window_ns, bindings)
-    spark = facts.sparkSession
-    key = F.struct(*GENERATION)
-    gens = _claims(rows).withColumn("gid", key)
-    refused = F.col("reason") != "resolved"
-    doubtful = rows.where(refused).select("instance", "queue_id").distinct()
-
-    # source side: hints are taken from the assigned facts, which know their generation already
-    told = rows.withColumns({"source_doubt": F.max(refused).over(Window.partitionBy(*QUEUE)), "s_cycle": F.col("cycle")})
-    src = hints(told, "s_cycle", "reason", "cross_stream", "source_doubt")
-    free = hints(facts.where(~is_queued()))
-    src = src.unionByName(free, allowMissingColumns=True).withColumn("hint_id", F.struct(*REF))
-    bind = spark.createDataFrame([tuple(b) for b in bindings], "instance string, relay string, bound string")
-    src = src.join(F.broadcast(bind), ["instance", "relay"], "left")
-    src = src.withColumn("to_instance", F.coalesce("target_instance", F.when(F.col("hint_kind") == "smtp_queue_hint", F.col("bound"))))
-    own = gens.select(*[F.col(c).alias(f"o_{c}") for c in GENERATION], F.col("gid").alias("source_gid"), F.col("first_t").alias("s_first"), F.col("receipt_observed").alias("s_receipt"), F.col("sender").alias("s_sender"), F.col("message_id").alias("s_mid"), F.col("message_ids_differ").alias("s_mids_differ"), F.col("non_explicit_time").alias("s_non_explicit"), F.col("proofs").alias("s_proofs"))
-    resolved = F.col("reason") == "resolved"
-    src = src.join(own, resolved & (F.col("instance") == F.col("o_instance")) & (F.col("queue_id") == F.col("o_queue_id")) & (F.col("source_id") == F.col("o_source_id")) & (F.col("origin_id") == F.col("o_origin_id")) & (F.col("s_cycle") == F.col("o_cycle")), "left").drop(*[f"o_{c}" for c in GENERATION])
-
-    # target side: all generations of the target key, reduced to counts and the plausible one
-    t = gens.select(F.col("instance").alias("to_instance"), F.col("queue_id").alias("target_queue_id"), F.col("gid").alias("t_gid"), F.col("first_t").alias("t_first"), F.col("receipt_observed").alias("t_receipt"), F.col("cross_stream_uncertain").alias("t_cross"), F.col("sender").alias("t_sender"), F.col("message_id").alias("t_mid"), F.col("message_ids_differ").alias("t_mids_differ"), F.col("non_explicit_time").alias("t_non_explicit"), F.col("proofs").alias("t_proofs"))
-    met = src.select("hint_id", "to_instance", "target_queue_id", F.col("t").alias("hint_t"), "s_first", "s_receipt").join(t, ["to_instance", "target_queue_id"])
-    apart = F.col("t_first") - F.col("hint_t")
-    plausible = F.col("s_receipt") & F.col("t_receipt") & (F.col("t_first") > F.col("s_first")) & apart.between(-window_ns, window_ns)
-    tcols = [c for c in t.columns if c.startswith("t_")]
-    seen = met.groupBy("hint_id").agg(F.count(F.lit(1)).alias("n_target"), F.count_if(plausible).alias("n_plausible"), F.max("t_cross").alias("target_cross"), F.max(F.when(plausible, F.struct(*tcols))).alias("target"))
-    out = src.join(seen, "hint_id", "left")
-    t_doubt = doubtful.select(F.col("instance").alias("to_instance"), F.col("queue_id").alias("target_queue_id"), F.lit(True).alias("target_doubt"))
-    out = out.join(t_doubt, ["to_instance", "target_queue_id"], "left")
-
-    # deliveries that the single target reports, one row per (generation, recipient)
-    known = attempts(rows).where(F.col("status").isin(*KNOWN)).groupBy(*GENERATION, "address").agg(F.min(F.struct(*REF)).alias("delivery_proof"))
-    known = known.select(key.alias("k_gid"), F.col("address").alias("k_address"), "delivery_proof")
-    wanted = F.when(F.col("hint_kind") == "bounce_notification_hint", F.col("s_sender")).otherwise(F.col("recipient"))
-    out = out.withColumn("wanted", wanted).withColumn("target_gid", F.when(F.col("n_plausible") == 1, F.col("target.t_gid")))
-    out = out.join(known, (F.col("target_gid") == F.col("k_gid")) & (F.col("wanted") == F.col("k_address")), "left").drop("k_gid", "k_address")
+    bind = facts.sparkSession.createDataFrame([tuple(b) for b in bindings], "instance string, relay string, bound string")
+    to = F.coalesce("target_instance", F.when(F.col("hint_kind") == "smtp_queue_hint", F.col("bound"))).alias("to_instance")
+
+    def bound(src: DataFrame) -> DataFrame:
+        return src.join(F.broadcast(bind), ["instance", "relay"], "left").select("*", to).drop("bound")
+
+    asked = bound(hints(facts))
+    keys = asked.select(*QUEUE).unionByName(asked.select(F.col("to_instance").alias("instance"), F.col("target_queue_id").alias("queue_id")))
+    queues = _queues(assigned(facts.where(is_queued()).join(keys.distinct(), list(QUEUE), "left_semi")))
+
+    # source side: hints lie with the generation that they are of
+    each = queues.select(*QUEUE, F.col("doubt").alias("source_doubt"), F.explode_outer("gens").alias("g")).select(*QUEUE, "source_doubt", "g", F.explode_outer("g.hints").alias("x")).where("x IS NOT NULL")
+    src = each.select(*QUEUE, "x.*", "source_doubt", F.col("g.cross").alias("cross_stream"), F.when(F.col("g.reason") == "resolved", F.col("g").dropFields("hints", "deliveries")).alias("s"))
+    src = src.select("*", F.col("h.kind").alias("hint_kind"), "h.target_queue_id", "h.target_instance", "h.relay").drop("h")
+    free = hints(facts.where(~is_queued())).drop("native_proof")
+    src = bound(src.unionByName(free, allowMissingColumns=True)).withColumn("hint_id", F.struct(*REF))
+
+    # target side: all generations of the target's queue, of which one must be plausible
+    t = queues.select(F.col("instance").alias("to_instance"), F.col("queue_id").alias("target_queue_id"), F.col("doubt").alias("target_doubt"), F.filter("gens", lambda g: g["reason"] == "resolved").alias("t_gens"))
+    out = src.join(t, ["to_instance", "target_queue_id"], "left")
+
+    def plausible(g):
+        apart = g["first_t"] - F.col("t")
+        return F.coalesce(F.col("s.receipt") & g["receipt"] & (g["first_t"] > F.col("s.first_t")) & apart.between(-window_ns, window_ns), F.lit(False))
+
+    out = out.withColumns({"n_target": F.size(F.coalesce("t_gens", F.array().cast(t.schema["t_gens"].dataType))), "target_cross": F.exists("t_gens", lambda g: g["cross"]), "likely": F.filter("t_gens", plausible)})
+    out = out.withColumns({"n_plausible": F.coalesce(F.size("likely"), F.lit(0)), "target": F.get("likely", F.lit(0))}).drop("t_gens", "likely")
+
+    # a delivery that the single target reports to the address that the hint speaks of
+    wanted = F.when(F.col("hint_kind") == "bounce_notification_hint", F.col("s.sender")).otherwise(F.col("recipient"))
+    out = out.withColumn("wanted", wanted)
+    proofs = F.transform(F.filter("target.deliveries", lambda d: d["address"] == F.col("wanted")), lambda d: d["proof"])
+    out = out.withColumn("delivery_proof", F.when(F.col("n_plausible") == 1, F.array_min(proofs)))
 
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     smtp = F.col("hint_kind") == "smtp_queue_hint"
-    s_sender, t_sender = F.col("s_sender"), F.col("target.t_sender")
-    s_mid, t_mid = F.col("s_mid"), F.col("target.t_mid")
+    s_sender, t_sender = F.col("s.sender"), F.col("target.sender")
+    s_mid, t_mid = F.col("s.mid"), F.col("target.mid")
     senders = s_sender.isNotNull() & t_sender.isNotNull()
-    ids_ok = ~flag("s_mids_differ") & ~F.coalesce(F.col("target.t_mids_differ"), F.lit(False)) & F.coalesce(s_mid == t_mid, F.lit(True))
+    ids_ok = ~flag("s.mids_differ") & ~flag("target.mids_differ") & F.coalesce(s_mid == t_mid, F.lit(True))
     bounce_ok = senders & (s_sender != "") & (t_sender == "") & F.col("delivery_proof").isNotNull()
     same_ok = senders & (s_sender == t_sender) & ids_ok
     smtp_ok = same_ok & F.coalesce((s_mid != "") & (s_mid == t_mid), F.lit(False)) & F.col("delivery_proof").isNotNull()
     ok = F.coalesce(F.when(F.col("hint_kind") == "bounce_notification_hint", bounce_ok).when(smtp, smtp_ok).otherwise(same_ok), F.lit(False))
     reason = (
-        F.when(F.col("source_gid").isNull(), F.lit("source_unresolved"))
+        F.when(F.col("s.gid").isNull(), F.lit("source_unresolved"))
         .when(flag("cross_stream") | flag("source_doubt"), F.lit("source_ambiguous"))
         .when(F.col("to_instance").isNull(), F.lit("target_instance_unknown"))
         .when((F.col("to_instance") == F.col("instance")) & (F.col("target_queue_id") == F.col("queue_id")), F.lit("self_reference"))
         .when(flag("target_doubt"), F.lit("target_ambiguous"))
-        .when(F.coalesce(F.col("n_target"), F.lit(0)) == 0, F.lit("target_absent"))
+        .when(F.col("n_target") == 0, F.lit("target_absent"))
         .when(F.col("n_plausible") == 0, F.lit("evidence_insufficient"))
         .when((F.col("n_plausible") > 1) | flag("target_cross"), F.lit("target_ambiguous"))
         .when(~ok, F.lit("evidence_insufficient"))
@@ -120,7 +135,8 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
     out = out.withColumn("reason", reason)
     linked = F.col("reason").isNull()
     # what a link rests on: the hint, one proof for each agreed value, and the target's delivery
-    all_proofs = F.concat(F.array("hint_id"), "s_proofs", "target.t_proofs", F.array_compact(F.array("delivery_proof")))
+    placed = F.transform(F.concat("s.proofs", "target.proofs"), lambda p: p.dropFields("place"))
+    all_proofs = F.concat(F.array("hint_id"), placed, F.array_compact(F.array("delivery_proof")))
     evidence = F.when(linked, F.array_sort(F.array_distinct(all_proofs))).otherwise(F.array("hint_id"))
     return out.select(
         *REF,
@@ -131,10 +147,10 @@ def links(facts: DataFrame, rows: DataFrame, window_ns: int, bindings: Sequence[
         F.col("to_instance").alias("target_instance"),
         F.when(linked, F.lit("corroborated")).otherwise(F.lit("candidate")).alias("state"),
         "reason",
-        F.when(F.col("reason").isNull() | (F.col("reason") != "source_unresolved"), F.col("source_gid")).alias("source_generation"),
+        F.when(F.col("reason").isNull() | (F.col("reason") != "source_unresolved"), F.col("s.gid")).alias("source_generation"),
         # a target, and what it adds, only where the link holds
-        F.when(linked, F.col("target_gid")).alias("target_generation"),
-        (flag("s_non_explicit") | (linked & F.coalesce(F.col("target.t_non_explicit"), F.lit(False)))).alias("non_explicit_time"),
+        F.when(linked, F.col("target.gid")).alias("target_generation"),
+        (flag("s.non_explicit") | (linked & flag("target.non_explicit"))).alias("non_explicit_time"),
         evidence.alias("evidence"),
     )
 

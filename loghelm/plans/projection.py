@@ -53,4 +53,4 @@ def build_projection(facts: DataFrame, window_ns: int = MINUTE_NS, bindings: Seq
     rev = projection_digest(input_revision, window_ns, bindings)
     rows = assigned(facts)
     keyed = queue_instances(generations(rows)).withColumn("revision", F.lit(rev))
-    return Projection(rev, input_revision, rows, keyed, recipients(rows), summaries(rows), links(facts, rows, window_ns, bindings), prequeue_reports(facts), sessions(facts), unresolved(rows), other(facts))
+    return Projection(rev, input_revision, rows, keyed, recipients(rows), summaries(rows), links(facts, window_ns, bindings), prequeue_reports(facts), sessions(facts), unresolved(rows), other(facts))

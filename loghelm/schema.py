@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ class RefusedError(ValueError):
         self.code = code
 
 
+@cache
 def field(name: str) -> Column:
     """A parsed field: NULL where absent, '' where observed empty."""
     return F.try_element_at(F.col("fields"), F.lit(name))

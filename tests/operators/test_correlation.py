@@ -112,7 +112,7 @@ Oct  1 10:00:05 mx postfix/smtp[1]: CD34: to=<r@y>, relay=p[192.0.2.9]:25, statu
 def link(spark, bindings=(), window=MINUTE, **kw):
     df = facts(spark, FORWARD.format(**{"service": "smtp", "reply": "250 2.0.0 Ok: queued as CD34", "sender": "s@x"} | kw))
     assert hints(df).count() == 1
-    return one(links(df, assigned(df), window, bindings))
+    return one(links(df, window, bindings))
 
 
 def test_links(spark):
