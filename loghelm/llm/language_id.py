@@ -112,13 +112,15 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, sample: int = SAMPLE) -> Centroids | None:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & train_fold("id"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()  # `languages` rows
+    # rows that are alike count once, and are drawn once
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    most = rows.groupBy("lang", "h").agg(F.lit(1).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "lang").limit(languages).collect()  # `languages` rows
     if not most:
         return None
     share = min(per_language, sample // len(most))
     rate = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, share / r["count"]))])
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(F.col("text").isNotNull() & (drawn < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))).select("lang", "text")
+    drawn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.where(F.col("text").isNotNull() & (drawn < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

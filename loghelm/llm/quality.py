@@ -161,7 +161,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TR
         return texts.map(votes)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    patterns = scratch.keep(texts.select(vote("text").alias("votes")).groupBy("votes").count()).toPandas()  # 3 ** LABELLERS rows at most
+    patterns = scratch.keep(texts.select(vote("text").alias("votes")).groupBy("votes").count()).toPandas().sort_values("votes", ignore_index=True)  # 3 ** LABELLERS rows at most
     model = fit_labels(patterns["votes"].tolist(), patterns["count"].to_numpy()) if len(patterns) else LabelModel(0.5, np.full((len(LABELLERS), 3, 2), 1 / 3))
     chance = dict(zip(patterns["votes"], model.posterior(coded(patterns["votes"].tolist())) if len(patterns) else [], strict=True))
 
@@ -169,8 +169,9 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TR
         for f in frames:
             yield pd.DataFrame({"x": [hashed(t).astype(np.float16).tobytes() for t in f["text"]], "y": [chance.get(votes(t), 0.5) for t in f["text"]]})
 
-    ids = texts.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(train_rows).distinct()
-    sample = texts.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(ids), "h", "left_semi").select("text").limit(2 * train_rows)
+    # one row of each of the first ids by hash: the same rows at any run
+    ids = texts.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(train_rows)
+    sample = texts.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(ids), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).select("text")
     got = sample.mapInPandas(learn, "x binary, y double").toPandas().sort_values(["y", "x"], ignore_index=True)
     if len(got):
         x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)

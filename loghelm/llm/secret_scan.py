@@ -4,8 +4,8 @@ Every whole text is searched for the three base kinds (assign, access, hex) and
 candidates: tokens with a vendor's prefix, private-key headers, and long tokens that mix upper
 case, lower case and digits. The value of each candidate is hashed, and the hashes are counted
 over the corpus by distinct repositories (documents) and owners (sources). A value that at
-least `copied_owners` owners or `copied_repositories` repositories have is a widely copied
-example; any other looks live. Further candidates become spans only where they look live and lie
+least `copied_owners` owners have, or two owners in at least `copied_repositories` repositories,
+is a widely copied example; any other looks live, however often its one owner repeats it. Further candidates become spans only where they look live and lie
 outside the base spans; base spans always stay, and are told apart in the columns n_live and
 n_copied.
 
@@ -124,7 +124,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def with_spans(found: DataFrame, copied_owners: int = 3, copied_repositories: int = 100) -> DataFrame:
     """Adds secret_copied (hashes of widely copied values) and secret_spans (spans to report)."""
-    copied = ownership(found).where((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)).select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copied = ownership(found).where((F.col("owners") >= copied_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= copied_repositories))).select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spans = found.where((F.size("secret_base") > 0) | (F.size("secret_more") > 0))
     pairs = spans.select("secret_row", F.explode(F.array_distinct(F.transform(F.concat("secret_base", "secret_more"), lambda s: s["value"]))).alias("value"))
     pairs = pairs.withColumn("salt", F.pmod("secret_row.a", F.lit(SALTS)).cast("int"))
