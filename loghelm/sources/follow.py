@@ -64,9 +64,28 @@ def stored_change(before: str, after: str) -> None:
         raise RefusedError("illegal_transition", f"{before} to {after}")
 
 
+# Fixed vocabulary: why a file is, or is not, an origin.
+REASONS = (
+    "fingerprints_match",
+    "invalid_state",
+    "physical_identity_unavailable",
+    "physical_identity_changed",
+    "invalid_prefix",
+    "missing_checkpoint",
+    "invalid_anchor",
+    "empty_prefix",
+    "zero_checkpoint",
+    "zero_checkpoint_replay",
+    "file_shortened",
+    "prefix_changed",
+    "anchor_changed",
+    "not_line_boundary",
+)
+
+
 @dataclass(frozen=True)
 class Verdict:
-    """match, different, insufficient or restart_zero, and why."""
+    """match, different, insufficient or restart_zero, and why: one of REASONS."""
 
     kind: str
     reason: str
@@ -78,40 +97,46 @@ def _read(path: str, at: int, n: int) -> bytes:
         return f.read(n)
 
 
+def _anchored(o: Origin) -> bool:
+    """Whether the anchor has the form of one for the origin's offset."""
+    parts = o.anchor.split(":")
+    return len(parts) == 4 and parts[0] == "sha256" and parts[1] == str(o.offset) and parts[2] == str(min(WINDOW, o.offset)) and len(parts[3]) == 64
+
+
 def verify(origin: Origin, path: str, zero_replay: bool = False) -> Verdict:
     """Whether the file at path is this origin. The checks run in a fixed order."""
     if origin.state not in ("following", "retired"):
-        return Verdict("insufficient", "lifecycle_unknown")
+        return Verdict("insufficient", "invalid_state")
     try:
         s = os.stat(path, follow_symlinks=False)
     except FileNotFoundError:
-        return Verdict("different", "missing")
-    if not stat.S_ISREG(s.st_mode):
-        return Verdict("different", "not_regular")
-    if (s.st_dev, s.st_ino) != (origin.device, origin.inode):
-        return Verdict("different", "physical_identity")
+        return Verdict("different", "physical_identity_unavailable")
+    if not stat.S_ISREG(s.st_mode) or (s.st_dev, s.st_ino) != (origin.device, origin.inode):
+        return Verdict("different", "physical_identity_changed")
     known = origin.prefix.split(":")
     if len(known) != 3 or known[0] != "sha256" or not known[1].isdigit():
-        return Verdict("insufficient", "prefix_unusable")
+        return Verdict("insufficient", "invalid_prefix")
     if origin.offset and not origin.anchor:
-        return Verdict("insufficient", "anchor_missing")
+        return Verdict("insufficient", "missing_checkpoint")
+    if origin.offset and not _anchored(origin):
+        return Verdict("insufficient", "invalid_anchor")
     if int(known[1]) == 0:
-        return Verdict("restart_zero", "empty_prefix") if zero_replay and origin.offset == 0 else Verdict("insufficient", "empty_prefix")
+        return Verdict("restart_zero", "zero_checkpoint_replay") if zero_replay and origin.offset == 0 else Verdict("insufficient", "empty_prefix")
     if origin.offset == 0 and not zero_replay:
         return Verdict("insufficient", "zero_checkpoint")
     if s.st_size < origin.offset:
-        return Verdict("different", "truncated")
+        return Verdict("different", "file_shortened")
     if prefix_fingerprint(_read(path, 0, int(known[1]))) != origin.prefix:
-        return Verdict("different", "prefix")
+        return Verdict("different", "prefix_changed")
     if origin.offset == 0:
-        return Verdict("restart_zero", "zero_checkpoint")
+        return Verdict("restart_zero", "zero_checkpoint_replay")
     begin = max(0, origin.offset - WINDOW)
     tail = _read(path, begin, origin.offset - begin)
     if anchor(tail, origin.offset) != origin.anchor:
-        return Verdict("different", "anchor")
+        return Verdict("different", "anchor_changed")
     if not tail.endswith(b"\n"):
-        return Verdict("insufficient", "not_a_line_boundary")
-    return Verdict("match", "verified")
+        return Verdict("insufficient", "not_line_boundary")
+    return Verdict("match", "fingerprints_match")
 
 
 def select_origin(origins: list[Origin], path: str, zero_replay: bool = False) -> tuple[Origin | None, str]:
@@ -239,6 +264,7 @@ class Follower:
     budget: int = ROUND_BYTES
     origins: list[Origin] = field(default_factory=list)
     loaded: set[str] = field(default_factory=set)
+    turn: int = 0
 
     def bootstrap(self) -> None:
         if os.path.exists(self.path):
@@ -252,7 +278,7 @@ class Follower:
                 s = os.stat(path, follow_symlinks=False)
                 if (s.st_dev, s.st_ino) == (o.device, o.inode):
                     known = o.offset or o.origin_id in self.loaded
-                    verdict = verify(o, path, self.zero_replay) if known else Verdict("match", "new")
+                    verdict = verify(o, path, self.zero_replay) if known else Verdict("match", "fingerprints_match")
                     if verdict.kind == "insufficient":
                         raise RefusedError("decision", verdict.reason)
                     if verdict.kind == "different":
@@ -285,24 +311,38 @@ class Follower:
             self.origins[i] = replace(o, path=path, eof_since=since, state="retired" if done else o.state)
 
     def advance(self) -> None:
-        """Every live generation goes on to the end of its complete lines, within the budget."""
-        for i, o in enumerate(self.origins):
-            if o.state != "following":
-                continue
-            path = self.locate(o)
-            end = complete_end(path, o.offset, self.budget)
-            if end == o.offset:
-                continue
-            begin = max(0, end - WINDOW)
-            prefix = o.prefix if int(o.prefix.split(":")[1]) == WINDOW else prefix_fingerprint(_read(path, 0, min(WINDOW, end)))
-            self.origins[i] = replace(o, path=path, prefix=prefix, offset=end, anchor=anchor(_read(path, begin, end - begin), end), eof_since=None)
+        """Live generations go on over complete lines, within one budget for all of them. Each gets an
+        equal share; what one leaves goes to the others in turn, and the turn moves on each time,
+        so a busy generation can't starve another. A line longer than what is left is still read."""
+        live = [i for i, o in enumerate(self.origins) if o.state == "following"]
+        live = live[self.turn % len(live) :] + live[: self.turn % len(live)] if live else []
+        left = self.budget
+        for share in (self.budget // max(1, len(live)), self.budget):
+            for i in live:
+                if left > 0:
+                    before = self.origins[i].offset
+                    self._go_on(i, max(1, min(share, left)))
+                    left -= self.origins[i].offset - before
+        if left < self.budget:  # else nothing came, and what is saved must stay the same
+            self.turn += 1
+
+    def _go_on(self, i: int, budget: int) -> None:
+        o = self.origins[i]
+        path = self.locate(o)
+        end = complete_end(path, o.offset, budget)
+        if end == o.offset:
+            return
+        begin = max(0, end - WINDOW)
+        prefix = o.prefix if int(o.prefix.split(":")[1]) == WINDOW else prefix_fingerprint(_read(path, 0, min(WINDOW, end)))
+        self.origins[i] = replace(o, path=path, prefix=prefix, offset=end, anchor=anchor(_read(path, begin, end - begin), end), eof_since=None)
 
     def save(self) -> dict:
-        return {"origins": [asdict(o) for o in self.origins]}
+        return {"origins": [asdict(o) for o in self.origins], "turn": self.turn}
 
     def load(self, offset: dict) -> None:
         self.origins = [Origin(**o) for o in offset["origins"]]
         self.loaded = {o.origin_id for o in self.origins}
+        self.turn = offset.get("turn", 0)
 
 
 def diagnose(errors: list[str]) -> tuple[str, bool]:
@@ -348,9 +388,18 @@ class LogFileReader(DataSourceStreamReader):
         self.source_id = options["sourceId"]
         self.instance = options.get("trustedHost") or self.source_id
         self.follower = Follower(options["path"], options.get("startAt", "beginning"), float(options.get("grace", GRACE_S)), options.get("zeroReplay", "false") == "true", int(options.get("maxBytesPerTrigger", ROUND_BYTES)))
+        self.stored = json.loads(options.get("stored", "[]"))
         self.started = False
 
     def initialOffset(self) -> dict:
+        if self.stored:  # no checkpoint of Spark's, but a store that knows the path
+            from loghelm.sources.recovery import resume
+
+            found = resume([Origin(**o) for o in self.stored], self.follower.path, self.follower.zero_replay)
+            if found.status == "ready":
+                self.follower.load({"origins": [asdict(o) for o in found.origins]})
+                self.started = True
+                return self.follower.save()
         self.follower.bootstrap()
         self.started = True
         return self.follower.save()

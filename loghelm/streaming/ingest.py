@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,11 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 from loghelm.sources.envelope import TimeContext
 from loghelm.sources.follow import MARK, LogFileSource
 from loghelm.sources.mail_lines import parse_lines
+from loghelm.sources.recovery import stored_origins
 from loghelm.store.facts_store import CHECKPOINTS, ORIGINS, FactStore
 
 
-def read_log(spark: SparkSession, path: str, source_id: str, **options: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, source_id: str, store: FactStore | None = None, **options: str) -> DataFrame:
+    """Lines of a followed path. A query without a checkpoint of its own goes on from the origins
+    that `store` holds of the source, all of them or none; else it starts afresh."""
     spark.dataSource.register(LogFileSource)
+    if store is not None:
+        options["stored"] = json.dumps([asdict(o) for o in stored_origins(store, source_id)])
     reader = spark.readStream.format("loghelm_log").option("path", path).option("sourceId", source_id)
     for k, v in options.items():
         reader = reader.option(k, v)

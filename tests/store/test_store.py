@@ -163,10 +163,10 @@ def test_resume_decisions(tmp_path):
     assert select_origin([o], path) == (o, "match") and select_origin([o, o], path)[1] == "ambiguous"
     with open(path, "r+b") as f:
         f.write(b"ONE")
-    assert verify(o, path).reason == "prefix"
+    assert verify(o, path).reason == "prefix_changed"
     with open(path, "r+b") as f:
         f.truncate(2)
-    assert verify(o, path).reason == "truncated"
+    assert verify(o, path).reason == "file_shortened"
 
 
 def test_rotation_grace_and_truncation(tmp_path):
