@@ -127,7 +127,11 @@ def timeline(facts: DataFrame, candidate: str, limit: int = 50, cursor: str | No
 
 def to_json(df: DataFrame, most: int = MAX_RESPONSE_BYTES) -> str:
     """The rows as one JSON array, or a refusal: never a part of it."""
-    lines = [r[0] for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    # tested before anything is collected
+    if (rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0) > most:
+        raise RefusedError("response_too_large")
+    lines = [r[0] for r in rows.collect()]
     out = "[" + ",".join(lines) + "]"
     if len(out.encode()) > most:
         raise RefusedError("response_too_large")

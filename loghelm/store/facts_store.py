@@ -357,6 +357,8 @@ class FactStore:
                 raise RefusedError("import_is_final")
             return self.snapshots.current()
         if top["failure"]:
+            if row["sha256"] is not None:  # it may pass; the run stays as it is, to be taken up again
+                raise RefusedError("input_unavailable", top["failure"])
             attempt.finish(top["failure"])
             return self.snapshots.current()
         row = attempt.bind(top["sha256"], top["content_bytes"])

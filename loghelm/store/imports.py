@@ -8,6 +8,12 @@ crash leaves a running row that tells exactly how far the run came.
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -128,3 +134,45 @@ class ImportAttempt:
     def _put(self, row: Row, base, **tables) -> None:
         columns = [c.split()[0] for c in IMPORTS.split(", ")]
         self.store.commit(tables.pop("facts", None), imports=self.store.spark.createDataFrame([tuple(row[c] for c in columns)], IMPORTS), base=base, **tables)
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """complete, failed (with its reason), or refused; `left` for runs that never started."""
+
+    run_id: str
+    status: str
+    error: str = ""
+
+
+def import_in_order(store, runs: list[tuple[str, Callable[[], None]]], deadline_s: float) -> list[Outcome]:
+    """Finite inputs one after the other, as (run id, work), under one deadline for all of them. work
+    imports its input into the store. The first that is refused or overruns ends the order: its
+    Spark jobs are cancelled, its run stays as far as it came, to be taken up again, and those
+    after it never start. An input that fails by itself does not stop the others."""
+    context = store.spark.sparkContext
+    end, out = time.monotonic() + deadline_s, []
+    for i, (run_id, work) in enumerate(runs):
+        left = end - time.monotonic()
+        tag = f"loghelm-import-{uuid.uuid4().hex}"
+        timer = threading.Timer(max(0.0, left), context.cancelJobsWithTag, (tag,))
+        context.addJobTag(tag)
+        try:
+            if left <= 0:
+                raise TimeoutError
+            timer.start()
+            work()
+            row = store.import_run(run_id)
+            if time.monotonic() >= end and (row is None or row["status"] == "running"):
+                raise TimeoutError
+            out.append(Outcome(run_id, row["status"] if row else "refused", row["error"] if row else "no run"))
+        except Exception as x:
+            late = time.monotonic() >= end
+            if not late and not isinstance(x, RefusedError):
+                raise
+            out.append(Outcome(run_id, "deadline" if late else "refused", "" if late else str(x)))
+            return out + [Outcome(r, "left") for r, _ in runs[i + 1 :]]
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+    return out
