@@ -241,15 +241,14 @@ def revision_digest(spark, sf_dir):
 
 def event_lines(events: DataFrame) -> DataFrame:
     """events as lines of text: wall time, host, service, pid, queue id, message."""
-    f = event_facts(events)
-    e = event_columns(events)
+    f = event_facts(events, also=("us",))
     message = (
         F.when(F.col("kind") == "removed", F.lit("removed"))
         .when(F.col("service") == "cleanup", F.concat(F.lit("message-id=<"), field("message-id"), F.lit(">")))
         .when(F.col("service") == "qmgr", F.concat(F.lit("from=<"), field("from"), F.lit(">, size=100, nrcpt=1 (queue active)")))
         .otherwise(F.concat(F.lit("to=<"), field("to"), F.lit(">, relay="), field("relay"), F.lit(", dsn=2.0.0, status="), F.col("native_status_field")))
     )
-    m = f.select("event_id", "host", "service", "pid", "queue_id", message.alias("m")).join(e.select("event_id", "us"), "event_id")
+    m = f.select("event_id", "host", "service", "pid", "queue_id", message.alias("m"), "us")
     wall = F.timestamp_micros(F.col("us"))
     stamp = F.concat(F.date_format(wall, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(wall).cast("string"), 2, " "), F.date_format(wall, " HH:mm:ss"))
     line = F.concat(stamp, F.lit(" "), F.col("host"), F.lit(" postfix/"), F.col("service"), F.lit("["), F.col("pid"), F.lit("]: "), F.col("queue_id"), F.lit(": "), F.col("m"))

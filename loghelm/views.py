@@ -19,8 +19,9 @@ def queue_of(u, day):
     return F.concat(F.lit("A"), F.lpad(u.cast("string"), 4, "0"), F.lpad(day.cast("string"), 2, "0"))
 
 
-def event_facts(events: DataFrame, hour_ties: bool = False) -> DataFrame:
-    """FACT rows: signup, view, click, purchase and error events as lines of five services."""
+def event_facts(events: DataFrame, hour_ties: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """FACT rows: signup, view, click, purchase and error events as lines of five services; `also`
+    names columns of event_columns to keep beside them."""
     e = event_columns(events)
     kind = F.col("event_type")
     s = lambda c: F.col(c).cast("string")
@@ -64,23 +65,24 @@ def event_facts(events: DataFrame, hour_ties: bool = False) -> DataFrame:
         F.when(delivered, native).alias("native_status_field"),
         F.lit("").alias("parse_error"),
         "event_id",
+        *also,
     )
 
 
 def event_sessions(events: DataFrame) -> DataFrame:
     """FACT rows before any queue: signup connects, error disconnects, other events are reports."""
-    e = event_columns(events)
+    facts = event_facts(events, also=("u", "event_type"))
     kind = F.col("event_type")
     client = F.concat(F.lit("host"), (F.col("u") % 5).cast("string"), F.lit("[192.0.2."), F.when(F.col("event_id") % 41 == 0, F.lit("9")).otherwise((F.col("u") % 5).cast("string")), F.lit("]"))
     action = F.when(kind == "view", F.lit("reject_warning")).otherwise(F.lit("reject"))
-    facts = event_facts(events).drop("event_id")
     edge = kind.isin("signup", "error")
-    rows = e.select(
-        (F.col("event_id") * 128).alias("start_offset"),
-        F.when(kind == "signup", F.lit("connect")).when(kind == "error", F.lit("disconnect")).otherwise(F.lit("reject")).alias("kind_"),
-        F.when(kind == "signup", F.concat(F.lit("connect from "), client)).when(kind == "error", F.concat(F.lit("disconnect from "), client, F.lit(" ehlo=1"))).otherwise(F.concat(action, F.lit(": RCPT from "), client, F.lit(": 554 5.7.1 refused; from=<a@example.org> to=<b@example.net> proto=ESMTP"))).alias("message_"),
-        (~edge).alias("no_queue_"),
-    )
-    met = facts.join(rows, "start_offset")
-    over = {"service": F.lit("smtpd"), "queue_id": F.lit(""), "no_queue": F.col("no_queue_"), "kind": F.col("kind_"), "message": F.col("message_"), "fields": F.when(F.col("no_queue_"), F.create_map(F.lit("from"), F.lit("a@example.org"), F.lit("to"), F.lit("b@example.net"), F.lit("proto"), F.lit("ESMTP"))), "native_status_field": F.lit(None).cast("string")}
-    return met.withColumns(over).select(*facts.columns)
+    over = {
+        "service": F.lit("smtpd"),
+        "queue_id": F.lit(""),
+        "no_queue": ~edge,
+        "kind": F.when(kind == "signup", F.lit("connect")).when(kind == "error", F.lit("disconnect")).otherwise(F.lit("reject")),
+        "message": F.when(kind == "signup", F.concat(F.lit("connect from "), client)).when(kind == "error", F.concat(F.lit("disconnect from "), client, F.lit(" ehlo=1"))).otherwise(F.concat(action, F.lit(": RCPT from "), client, F.lit(": 554 5.7.1 refused; from=<a@example.org> to=<b@example.net> proto=ESMTP"))),
+        "fields": F.when(~edge, F.create_map(F.lit("from"), F.lit("a@example.org"), F.lit("to"), F.lit("b@example.net"), F.lit("proto"), F.lit("ESMTP"))),
+        "native_status_field": F.lit(None).cast("string"),
+    }
+    return facts.withColumns(over).drop("event_id", "u", "event_type")
