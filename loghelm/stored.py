@@ -129,15 +129,16 @@ def derived_revision(spark, sf_dir):
 
 
 def sessions_streamed(spark, sf_dir):
-    """Sessions by the stream, whose input came in three files, each a micro-batch."""
+    """Sessions by the stream, whose input came in three parts, each a micro-batch."""
     folder = new_folder(spark)
     rows = event_sessions(_events(spark, sf_dir))
     shape = [c.strip().split()[0] for c in FACT.replace("map<string,string>", "map").split(", ")]
     cuts = [0, *[int(x) for x in rows.approxQuantile("start_offset", [0.3, 0.6], 0.01)], 2**62]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        rows.where((F.col("start_offset") >= a) & (F.col("start_offset") < b)).select(*shape).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    stream = spark.readStream.schema(FACT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
-    write_sessions(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
+        rows.where((F.col("start_offset") >= a) & (F.col("start_offset") < b)).select(*shape).write.parquet(f"{folder}/in/{k}")
+        # taken up again for each part, which so may have any number of files
+        stream = spark.readStream.schema(FACT).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        write_sessions(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
     s = latest(read_sessions(spark, f"{folder}/out"))
     return s.select("start_offset", "pid", "client", F.coalesce("reason", F.lit("assigned")).alias("result"))
 
