@@ -30,6 +30,7 @@ from loghelm.sources.mail_lines import parse_lines
 from loghelm.store.imports import gaps, runs_with_marks, with_marks
 from loghelm.store.replay import outcomes, purge_digest
 from loghelm.store.retention import covered, purgeable
+from loghelm.store.workspace import new_folder
 from loghelm import stored
 from loghelm.stored import event_store
 from loghelm.views import event_columns, event_facts, event_sessions
@@ -183,12 +184,20 @@ def other_facts(spark, sf_dir):
     return other(_facts(spark, sf_dir).withColumn("no_queue", F.col("event_id") % 13 == 0)).select("source_id", "origin_id", "start_offset")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read from there."""
+    path = f"{new_folder(df.sparkSession)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def candidate_timeline(spark, sf_dir):
     """The first facts of every generation of two queues, each asked for by its candidate id."""
     facts, out = _facts(spark, sf_dir), None
     for queue in (("mx-1", "A000102"), ("mx-1", "A003105")):
-        for c in candidates(build_projection(facts_in_scope(facts, [queue], [], None), limit=None)):  # few generations of one queue
-            page, _ = timeline(facts, c, limit=3)
+        own = _kept(facts_in_scope(facts, [queue], [], None))  # each question reads its queue several times, and the events once
+        for c in candidates(build_projection(own, limit=None)):  # few generations of one queue
+            page, _ = timeline(own, c, limit=3)
             page = page.select("start_offset", "position", "kind", "service")
             out = page if out is None else out.unionByName(page)
     return out if out is not None else spark.createDataFrame([], "start_offset string, position int, kind string, service string")
