@@ -126,9 +126,10 @@ class FactStore:
 
     # writing
 
-    def _new_only(self, new: DataFrame, at: Version, by_origin: DataFrame, some: list) -> DataFrame:
+    def _new_only(self, new: DataFrame, at: Version, by_origin: DataFrame, some: list, kept: list[str]) -> DataFrame:
         """Facts that are not stored yet. The same provenance with other bytes is a collision;
-        purged facts come back only as what they were, and are then skipped."""
+        purged facts come back only as what they were, and are then skipped. `kept` takes the folder
+        that they are written to."""
         bad = F.col("source_id").isNull() | (F.col("source_id") == "") | (F.col("origin_id") == "") | (F.col("instance") == "") | (F.col("start_offset") < 0) | (F.col("end_offset") <= F.col("start_offset"))
         once = new.dropDuplicates([*REF, "raw"])
         faults = ordered(once.select(*REF, "instance")).agg(F.max(bad), F.max(F.col("previous_end") > F.col("start_offset"))).first()
@@ -138,6 +139,9 @@ class FactStore:
             raise RefusedError("collision", "within the batch")
         near, met = self._near(by_origin, some, at)
         told = outcomes(once, self._facts_of(met).where(near), self.snapshots.read("purged", PURGED, at).where(near))
+        # written once, as the ids need the new facts several times
+        kept.append(self.snapshots.stage("incoming", told.where(F.col("outcome") != "stored")))
+        told = self.spark.read.schema(told.schema).parquet(f"{self.snapshots.root}/{kept[-1]}")
         if not told.where(F.col("outcome") == "collision").isEmpty():
             raise RefusedError("collision", "with a stored or purged record")
         return told.where(F.col("outcome") == "new").select(*once.columns)
@@ -219,15 +223,15 @@ class FactStore:
         """Writes the facts that are new, with their ids. The batch is written as it came first, so
         that its parser runs once for all the checks."""
         given = [] if ids is None else [F.col(ids).cast("long").alias("given_id")]
-        came = self.snapshots.stage("incoming", facts.select(*FACT_COLUMNS, *given))
+        kept = [self.snapshots.stage("incoming", facts.select(*FACT_COLUMNS, *given))]
         try:
-            batch = self.spark.read.schema(FACT + (", given_id long" if given else "")).parquet(f"{self.snapshots.root}/{came}")
+            batch = self.spark.read.schema(FACT + (", given_id long" if given else "")).parquet(f"{self.snapshots.root}/{kept[0]}")
             by_origin = batch.groupBy("source_id", "origin_id").agg(F.min("start_offset").alias("lo"), F.max("start_offset").alias("hi"), F.count(F.lit(1)).alias("n"))
             some = by_origin.limit(NEAR_ORIGINS + 1).collect()
             few = len(some) <= NEAR_ORIGINS
             size = sum(r["n"] for r in some) if few else batch.count()
             touch = _marks("origin", [(r["source_id"], r["origin_id"]) for r in some])
-            new = self._new_only(batch, at, by_origin, some)
+            new = self._new_only(batch, at, by_origin, some, kept)
             if ids is not None:
                 rows = searchable(new).withColumn("event_id", F.col("given_id"))
             else:
@@ -239,7 +243,7 @@ class FactStore:
                 rows = rows.join(sizes.select("source_id", "origin_id", shift), ["source_id", "origin_id"]).withColumn("event_id", (F.col("event_id") + F.col("shift") + first).cast("long"))
             return _Staged(self._written(rows.select(*FACTS_COLUMNS), size), touch)
         finally:
-            self.snapshots.discard(came)
+            self.snapshots.discard(*kept)
 
     def _reserve(self, n: int) -> int:
         """The id before n ids that no other batch gets; ids that a batch does not use stay unused."""
